@@ -265,15 +265,17 @@ def ocr_normalize(spark, sf):
     return docs(spark, sf).select("video_id", F.md5(T.ocr_normalize(raw)).alias("line"))
 
 
-def quality_sql(x: str) -> str:
+def quality_sql(x: str, chars: str) -> str:
     n = f"greatest(length({x}), 1)"
     alnum = f"{s.n_match(x, '[\\p{L}\\p{N}]')}::DOUBLE / {n}"
     letters = f"{s.n_match(x, '\\p{L}')}::DOUBLE / {n}"
     odd_pattern = "[^\\p{L}\\p{N}" + s.SPACE + ".,:;!?¿¡%$#@+\\-/()]"
     odd = f"{s.n_match(x, odd_pattern)}::DOUBLE / {n}"
-    chars = f"string_split(lower({x}), '')"
+    # Five equal neighbours; RE2 has no back-references.
     repeated = (
-        f"len(list_filter(range(1, length({x}) - 3), lambda i: len(list_distinct(list_slice({chars}, i, i + 4))) = 1)) > 0"
+        f"len(list_filter(list_zip({chars}[1:len({chars}) - 4], {chars}[2:len({chars}) - 3], {chars}[3:len({chars}) - 2], "
+        f"{chars}[4:len({chars}) - 1], {chars}[5:len({chars})]), "
+        "lambda z: z[1] = z[2] AND z[2] = z[3] AND z[3] = z[4] AND z[4] = z[5])) > 0"
     )
     return (
         f"CASE WHEN length({x}) < 3 OR ({repeated}) OR ({alnum} < 0.35 AND {letters} < 0.25) THEN 0.0::DOUBLE "
@@ -286,7 +288,8 @@ def quality_sql(x: str) -> str:
     f"""WITH l AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(line, '[|_~`^]{{2,}}', ' ', 'g'), '[{s.SPACE}]+', ' ', 'g')) AS x
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
-        SELECT doc_id, CAST(i AS INTEGER) AS i, {s.r6(quality_sql('x'))} AS quality FROM l""",
+        SELECT doc_id, CAST(i AS INTEGER) AS i, {s.r6(quality_sql('x', 'c'))} AS quality
+        FROM (SELECT *, string_split(lower(x), '') AS c FROM l)""",
 )
 def line_quality(spark, sf):
     lines = V.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
@@ -349,17 +352,18 @@ def coerce(spark, sf):
 
 
 GEN = "(text || ' video contenido ' || source)"
-GEN_WORDS = f"regexp_extract_all(lower({s.strip(GEN)}), '({s.WORD})', 1)"
-GRAMS = f"list_transform(range(1, len({GEN_WORDS}) - 2), lambda i: array_to_string(list_slice({GEN_WORDS}, i, i + 3), ' '))"
 
 
 @query(
     "generated_text_quality",
-    f"""SELECT {DOC}, CASE WHEN len({GEN_WORDS}) < 90 THEN 'corta'
-        WHEN {s.hits(GEN, fv.GENERATED_FORBIDDEN)} > 0 THEN 'incoherente'
-        WHEN {s.hits(GEN, fv.GENERATED_DOMAIN_TERMS)} < 2 THEN 'fuera_de_dominio'
-        WHEN len(list_distinct({GRAMS}))::DOUBLE / len({GRAMS}) < 0.72 THEN 'repetitiva' ELSE 'ok' END AS reason
-        FROM documents""",
+    f"""WITH w AS MATERIALIZED (SELECT doc_id, {GEN} AS t, regexp_extract_all(lower({s.strip(GEN)}), '({s.WORD})', 1) AS w FROM (SELECT * FROM documents)),
+        g AS MATERIALIZED (SELECT doc_id, t, len(w) AS n,
+          list_transform(list_zip(w[1:len(w) - 3], w[2:len(w) - 2], w[3:len(w) - 1], w[4:len(w)]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3] || ' ' || z[4]) AS grams FROM w)
+        SELECT {DOC}, CASE WHEN n < 90 THEN 'corta'
+        WHEN {s.hits('t', fv.GENERATED_FORBIDDEN)} > 0 THEN 'incoherente'
+        WHEN {s.hits('t', fv.GENERATED_DOMAIN_TERMS)} < 2 THEN 'fuera_de_dominio'
+        WHEN len(list_distinct(grams))::DOUBLE / len(grams) < 0.72 THEN 'repetitiva' ELSE 'ok' END AS reason
+        FROM g""",
 )
 def generated_quality(spark, sf):
     t = F.concat("text", F.lit(" video contenido "), "source")

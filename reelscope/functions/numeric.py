@@ -17,6 +17,15 @@ def num(value) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Inside a lambda (and in CASE branches) an expression is evaluated again at
+    every use; binding it to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_float(value, default=0.0) -> Column:
     """Any input to a finite double; everything else becomes ``default``."""
     c = col(value)
@@ -191,11 +200,13 @@ def frame_timestamps(duration, video_type, *, max_frames: int = 20) -> Column:
         lambda t: (t >= 0) & (t <= d),
     )
     every = F.array_sort(F.array_distinct(F.concat(grid, F.transform(marks, lambda t: F.round(t, 2)))))
-    n = F.size(every)
-    picked = F.transform(
-        F.sequence(F.lit(0), F.lit(max_frames - 1)),
-        lambda i: F.get(every, F.bround(i * (n - 1) / (max_frames - 1)).cast("int")),
-    )
-    return F.when(F.coalesce(d, F.lit(0.0)) <= 0, F.array().cast("array<double>")).otherwise(
-        F.when(n > max_frames, picked).otherwise(every)
-    )
+
+    def thinned(times):
+        n = F.size(times)
+        picked = F.transform(
+            F.sequence(F.lit(0), F.lit(max_frames - 1)),
+            lambda i: F.get(times, F.bround(i * (n - 1) / (max_frames - 1)).cast("int")),
+        )
+        return F.when(n > max_frames, picked).otherwise(times)
+
+    return F.when(F.coalesce(d, F.lit(0.0)) <= 0, F.array().cast("array<double>")).otherwise(let(every, thinned))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from reelscope import fixed_values as fv
-from reelscope.functions.numeric import clip, col
+from reelscope.functions.numeric import clip, col, let
 from reelscope.functions.terms import TermIndex, sql_text
 
 SPACE = r"\s\x0b\p{Z}\x1c-\x1f\x{85}"
@@ -191,13 +191,24 @@ def ocr_normalize(value) -> Column:
 
 def ocr_line_quality(value) -> Column:
     """0 for noise lines, otherwise a bounded score from letter, digit and symbol shares."""
-    c = ocr_normalize(value)
+    return let(ocr_normalize(value), normal_line_quality)
+
+
+def normal_line_quality(c: Column) -> Column:
+    """Quality of a line that is normalised already."""
     n = F.greatest(F.length(c), F.lit(1))
-    alnum = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / n
-    letters = F.regexp_count(c, F.lit(r"\p{L}")) / n
-    odd = F.regexp_count(c, F.lit(r"[^\p{L}\p{N}" + SPACE + r".,:;!?¿¡%$#@+\-/()]")) / n
-    noise = (F.length(c) < 3) | F.lower(c).rlike(r"(.)\1{4,}") | ((alnum < 0.35) & (letters < 0.25))
-    return F.when(noise, F.lit(0.0)).otherwise(clip(alnum + letters * 0.4 - odd * 1.4, 0.0, 1.0))
+    shares = F.struct(
+        (F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / n).alias("alnum"),
+        (F.regexp_count(c, F.lit(r"\p{L}")) / n).alias("letters"),
+        (F.regexp_count(c, F.lit(r"[^\p{L}\p{N}" + SPACE + r".,:;!?¿¡%$#@+\-/()]")) / n).alias("odd"),
+    )
+
+    def score(x):
+        sparse = (x["alnum"] < 0.35) & (x["letters"] < 0.25)
+        return F.when(sparse, F.lit(0.0)).otherwise(clip(x["alnum"] + x["letters"] * 0.4 - x["odd"] * 1.4, 0.0, 1.0))
+
+    noise = (F.length(c) < 3) | F.lower(c).rlike(r"(.)\1{4,}")
+    return F.when(noise, F.lit(0.0)).otherwise(let(shares, score))
 
 
 def stable_jitter(value, span: float = 0.16) -> Column:
@@ -266,13 +277,17 @@ def generated_text_quality(value, *, min_words=fv.GENERATED_MIN_WORDS, min_domai
     """struct(ok, reason): first failing rule wins."""
     t = F.lower(strip_fences(value))
     tokens = F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))
-    n = F.size(tokens)
+    n = F.regexp_count(t, F.lit(WORD))
     found = GENERATED_INDEX.scan(t)
-    grams = F.when(
-        n >= 4,
-        F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.array_join(F.slice(tokens, i, 4), " ")),
-    )
-    unique = F.size(F.array_distinct(grams)) / F.size(grams)
+
+    def distinct_share(w):
+        grams = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 4),
+            lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(4)]),
+        )
+        return F.when(F.size(w) >= 4, F.size(F.array_distinct(grams)) / (F.size(w) - 3)).otherwise(F.lit(1.0))
+
+    unique = let(tokens, distinct_share)
 
     def out(ok, reason):
         return F.struct(F.lit(ok).alias("ok"), F.lit(reason).alias("reason"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from reelscope.functions.numeric import col
-from reelscope.functions.text import ocr_line_quality, ocr_normalize
+from reelscope.functions.text import normal_line_quality, ocr_normalize
 
 
 def dedup_latest(df: DataFrame, key: str = "video_id", order: str = "views", ties=()) -> DataFrame:
@@ -49,7 +49,7 @@ def exact_line_dedup(df: DataFrame, key: str, line: str, orders: list[str]) -> D
 def clean_lines(lines) -> Column:
     """Normalised lines of sufficient quality, in order."""
     normal = F.transform(col(lines), ocr_normalize)
-    return F.filter(normal, lambda x: ocr_line_quality(x) >= 0.38)
+    return F.filter(normal, lambda x: normal_line_quality(x) >= 0.38)
 
 
 def containment_dedup(lines) -> Column:

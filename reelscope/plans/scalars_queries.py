@@ -356,12 +356,12 @@ GEN = "(text || ' video contenido ' || source)"
 
 @query(
     "generated_text_quality",
-    f"""WITH w AS MATERIALIZED (SELECT doc_id, {GEN} AS t, regexp_extract_all(lower({s.strip(GEN)}), '({s.WORD})', 1) AS w FROM (SELECT * FROM documents)),
-        g AS MATERIALIZED (SELECT doc_id, t, len(w) AS n,
+    f"""WITH w AS MATERIALIZED (SELECT doc_id, {GEN} AS body, regexp_extract_all(lower({s.strip(GEN)}), '({s.WORD})', 1) AS w FROM (SELECT * FROM documents)),
+        g AS MATERIALIZED (SELECT doc_id, body, len(w) AS n,
           list_transform(list_zip(w[1:len(w) - 3], w[2:len(w) - 2], w[3:len(w) - 1], w[4:len(w)]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3] || ' ' || z[4]) AS grams FROM w)
         SELECT {DOC}, CASE WHEN n < 90 THEN 'corta'
-        WHEN {s.hits('t', fv.GENERATED_FORBIDDEN)} > 0 THEN 'incoherente'
-        WHEN {s.hits('t', fv.GENERATED_DOMAIN_TERMS)} < 2 THEN 'fuera_de_dominio'
+        WHEN {s.hits('body', fv.GENERATED_FORBIDDEN)} > 0 THEN 'incoherente'
+        WHEN {s.hits('body', fv.GENERATED_DOMAIN_TERMS)} < 2 THEN 'fuera_de_dominio'
         WHEN len(list_distinct(grams))::DOUBLE / len(grams) < 0.72 THEN 'repetitiva' ELSE 'ok' END AS reason
         FROM g""",
 )

@@ -1 +1,689 @@
-"""Queries."""
+"""Queries over normalisation, joins, de-duplication, sampling and profiles."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from reelscope import fixed_values as fv
+from reelscope.operators import channels as C
+from reelscope.operators import dedup as U
+from reelscope.operators import evaluation as E
+from reelscope.operators import features as X
+from reelscope.operators import labels as L
+from reelscope.operators import normalize as B
+from reelscope.operators import profile as P
+from reelscope.operators import sampling as S
+from reelscope.plans import sqltext as s
+from reelscope.plans import views as V
+from reelscope.plans.registry import joined, query, r6
+from reelscope.plans.scalars_queries import engagement_sql, with_videos
+from reelscope.session import materialize, table, work_dir
+from reelscope.sources import corpus, payloads, sinks
+
+# --- sources ------------------------------------------------------------------
+
+
+@query(
+    "read_corpus",
+    """SELECT 'orders.csv' AS source, count(*) AS n, count(o_totalprice) AS priced, CAST(0 AS BIGINT) AS balances FROM orders
+       UNION ALL SELECT 'customers.csv', count(*), CAST(0 AS BIGINT), count(c_acctbal) FROM customer""",
+)
+def read_corpus(spark, sf):
+    """Two CSV files with different headers, written from the tables and read back as one corpus."""
+    folder = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice", "o_orderstatus")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
+    frames = []
+    for name, df in (("orders", o), ("customers", c)):
+        df.write.option("header", True).csv(f"{folder}/{name}")
+        frames.append(corpus.read_corpus(spark, f"{folder}/{name}").withColumn("source", F.lit(f"{name}.csv")))
+    both = U.union_by_name(frames)
+    return both.groupBy("source").agg(
+        F.count("*").alias("n"), F.count("o_totalprice").alias("priced"), F.count("c_acctbal").alias("balances")
+    )
+
+
+@query("read_table", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def read_table(spark, sf):
+    o = corpus.read_table(spark, f"{sf}/orders.parquet")
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    "read_transcripts",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS video_id, md5({s.clean('text')}) AS transcript FROM documents
+        WHERE n_chars % 5 <> 4 AND {s.clean('text')} <> ''""",
+)
+def read_transcripts(spark, sf):
+    """Documents rendered in the accepted JSON shapes (every fifth one unreadable) and parsed back."""
+    d = V.documents(spark, sf)
+    parts = F.transform(F.split("text", " "), lambda x: F.struct(x.alias("text")))
+    k = F.col("n_chars") % 5
+    raw = (
+        F.when(k == 0, F.to_json(parts))
+        .when(k == 1, F.to_json(F.split("text", " ")))
+        .when(k == 2, F.to_json(F.struct(F.col("text").alias("transcript"))))
+        .when(k == 3, F.to_json(F.struct(parts.alias("segments"))))
+        .otherwise(F.concat(F.lit("{"), "text"))
+    )
+    out = d.select(F.col("doc_id").cast("string").alias("video_id"), corpus.parse_transcript(raw).alias("t"))
+    return out.where(F.col("t") != "").select("video_id", F.md5("t").alias("transcript"))
+
+
+@query(
+    "flatten_channel_payload",
+    """SELECT 'UC' || user_id AS channel_id, 'Channel ' || user_id AS channel_title,
+         CASE WHEN user_id % 2 = 0 THEN 'About ' || user_id ELSE '' END AS channel_description,
+         CAST(count(*) FILTER (event_type = 'purchase') * 10 AS BIGINT) AS subscriber_count, user_id % 3 = 0 AS hidden_subscriber_count,
+         CAST(count(*) * 100 AS BIGINT) AS channel_view_count, CAST(count(*) AS BIGINT) AS channel_video_count,
+         'UU' || user_id AS uploads_playlist_id FROM events GROUP BY user_id""",
+)
+def channel_payload(spark, sf):
+    out = payloads.flatten_channel_payload(V.channel_payloads(spark, sf))
+    return out.select(
+        "channel_id", "channel_title", "channel_description", "subscriber_count", "hidden_subscriber_count",
+        "channel_view_count", "channel_video_count", "uploads_playlist_id",
+    )
+
+
+@query(
+    "flatten_video_payload",
+    f"""WITH {V.CHANNEL_VIDEOS_SQL} SELECT video_id, views, likes, comments,
+        CASE WHEN views <> 0 THEN round((likes + comments) / views, 4) ELSE 0.0 END AS engagement_public FROM channel_videos""",
+)
+def video_payload(spark, sf):
+    out = payloads.flatten_video_payload(V.video_payloads(spark, sf))
+    return out.select("video_id", "views", "likes", "comments", "engagement_public")
+
+
+@query(
+    "flatten_video_metadata",
+    """SELECT 'e' || event_id AS video_id, event_type || ' ' || event_id AS title, props AS description,
+         'Channel ' || user_id AS channel_title, event_type AS category_id,
+         CASE WHEN event_id % 2 = 0 THEN event_type || ' | tag' ELSE '' END AS tags,
+         CAST((event_id % 70) * 60 + event_id % 60 AS BIGINT) AS duration_seconds,
+         'https://www.youtube.com/channel/UC' || user_id AS channel_url FROM events""",
+)
+def video_metadata(spark, sf):
+    out = payloads.flatten_video_metadata(V.video_payloads(spark, sf))
+    return out.select(
+        "video_id", "title", "description", "channel_title", "category_id", joined("tags", "tags"), "duration_seconds", "channel_url"
+    )
+
+
+@query(
+    "flatten_comment_payload",
+    "SELECT conv_id AS video_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS text FROM conversations",
+)
+def comment_payload(spark, sf):
+    t = table(spark, sf, "conversations")
+    inner = F.struct(F.when(F.col("turn") % 3 != 0, F.col("text")).alias("textDisplay"))
+    item = F.struct(F.struct(F.struct(inner.alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    raw = t.select(
+        F.struct("conv_id", "turn").alias("video_id"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload")
+    )
+    out = payloads.flatten_comment_payload(raw)
+    return out.select(F.col("video_id.conv_id").alias("video_id"), F.col("video_id.turn").alias("turn"), "text")
+
+
+LINES_SQL = f"list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {s.strip('x')}), lambda x: x <> '')"
+
+
+@query(
+    "split_manual_comments",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS position, md5(unnest(l)) AS text
+        FROM (SELECT doc_id, {LINES_SQL} AS l FROM documents)""",
+)
+def manual_comments(spark, sf):
+    d = V.documents(spark, sf).withColumn("video_id", F.col("doc_id").cast("string"))
+    return payloads.split_manual_comments(d).select("video_id", "position", F.md5("text").alias("text"))
+
+
+@query(
+    "dataset_kind",
+    """SELECT CASE WHEN bool_and(contains(f, 'demo')) THEN 'synthetic' WHEN bool_or(contains(f, 'youtube_')) THEN 'real_kaggle'
+       ELSE 'real_or_mixed' END AS dataset_kind FROM (SELECT 'YouTube_' || source || '.csv' AS x, lower('YouTube_' || source || '.csv') AS f FROM documents)""",
+)
+def dataset_kind(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("YouTube_"), "source", F.lit(".csv")).alias("source_file"))
+    return P.dataset_kind(d)
+
+
+@query(
+    "downsample_manifest",
+    """SELECT a.l_returnflag AS dataset, a.n AS original_rows, coalesce(b.n, 0) AS kept_rows, CAST(3 AS INTEGER) AS columns_preserved
+       FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) a
+       LEFT JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) b USING (l_returnflag)""",
+)
+def manifest(spark, sf):
+    before = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_orderkey")
+    return P.downsample_manifest(before, before.where(F.col("l_quantity") > 25), "l_returnflag")
+
+
+@query("write_dataset", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def write_dataset(spark, sf):
+    path = f"{work_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    sinks.write_dataset(table(spark, sf, "lineitem"), path, partition_by=("l_returnflag",))
+    return spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("write_contract_json", "SELECT doc_id, quality, toxic FROM labels")
+def write_json(spark, sf):
+    path = f"{work_dir(spark)}/contract-{uuid.uuid4().hex}"
+    nested = table(spark, sf, "labels").select("doc_id", F.struct("quality", "toxic").alias("metricas"))
+    sinks.write_contract_json(nested, path)
+    back = spark.read.schema("doc_id bigint, metricas struct<quality:int,toxic:int>").json(path)
+    return back.select("doc_id", "metricas.quality", "metricas.toxic")
+
+
+@query("write_metrics", "SELECT quality, count(*) AS n FROM labels GROUP BY 1")
+def write_metrics(spark, sf):
+    path = f"{work_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    sinks.write_metrics(table(spark, sf, "labels").groupBy("quality").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("quality int, n bigint").option("header", True).csv(path)
+
+
+PAIRS_SQL = """pairs AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a
+  ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def pairs(spark, sf):
+    t = table(spark, sf, "conversations")
+    u = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("respuesta"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query("chat_messages", f"WITH {PAIRS_SQL} SELECT conv_id, turn, md5(input) AS user_text, md5(output) AS assistant_text, CAST(3 AS INTEGER) AS n FROM pairs")
+def chat(spark, sf):
+    m = sinks.chat_messages(pairs(spark, sf))
+    return m.select(
+        "conv_id", "turn", F.md5(F.col("messages")[1]["content"]).alias("user_text"),
+        F.md5(F.col("messages")[2]["content"]).alias("assistant_text"), F.size("messages").alias("n"),
+    )
+
+
+CHAT_SPLIT_SQL = f"""WITH {PAIRS_SQL}, r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY md5(conv_id || '-' || turn || ':42')) AS r, count(*) OVER () AS n FROM pairs)
+SELECT conv_id, turn, r <= CASE WHEN n > 8 THEN greatest(1, CAST(floor(n * 0.12::DOUBLE) AS BIGINT)) ELSE 1 END AS is_val FROM r"""
+
+
+def split_pairs(spark, sf):
+    keyed = pairs(spark, sf).withColumn("row", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return S.shuffle_split(keyed, "row", 0.12, 42)
+
+
+@query("shuffle_split", CHAT_SPLIT_SQL)
+def shuffle_split(spark, sf):
+    return split_pairs(spark, sf).select("conv_id", "turn", "is_val")
+
+
+@query("write_chat_jsonl", f"SELECT CASE WHEN is_val THEN 'val' ELSE 'train' END AS part, count(*) AS n FROM ({CHAT_SPLIT_SQL}) GROUP BY 1")
+def write_chat(spark, sf):
+    path = f"{work_dir(spark)}/chat-{uuid.uuid4().hex}"
+    sinks.write_chat_jsonl(sinks.chat_messages(split_pairs(spark, sf)), path)
+    parts = [
+        spark.read.schema("messages array<struct<role:string,content:string>>").json(f"{path}/{p}").select(F.lit(p).alias("part"))
+        for p in ("train", "val")
+    ]
+    return U.union_by_name(parts).groupBy("part").agg(F.count("*").alias("n"))
+
+
+# --- normalisation ------------------------------------------------------------
+
+
+@query(
+    "rename_aliases",
+    with_videos("SELECT video_id, views, likes, category_id, source_file AS channel_title FROM videos"),
+)
+def rename_aliases(spark, sf):
+    v = V.videos(spark, sf)
+    raw = v.select(
+        "video_id", F.col("views").alias("view_count"), F.col("likes").alias("likes_count"), F.lit(-1.0).alias("like_count"),
+        F.col("category_id").alias("categoryId"), F.col("source_file").alias("channel"),
+    )
+    return B.rename_aliases(raw).select("video_id", "views", "likes", "category_id", "channel_title")
+
+
+@query(
+    "fill_defaults",
+    with_videos("""SELECT video_id, CASE WHEN category_id = 'fr' THEN '' ELSE md5(title) END AS title, '' AS tags,
+      CASE WHEN category_id = 'en' THEN 0.0 ELSE views END AS views, 0.0::DOUBLE AS comments,
+      CASE WHEN category_id = 'es' THEN 'unknown' ELSE category_id END AS category_id, 0.0::DOUBLE AS duration_seconds FROM videos"""),
+)
+def fill_defaults(spark, sf):
+    c = F.col("category_id")
+    raw = V.videos(spark, sf).select(
+        "video_id", F.when(c != "fr", F.md5("title")).alias("title"),
+        F.when(c == "en", F.lit("n/a")).otherwise(F.col("views").cast("string")).alias("views"),
+        F.when(c != "es", c).alias("category_id"),
+    )
+    return B.fill_defaults(raw).select("video_id", "title", "tags", "views", "comments", "category_id", "duration_seconds")
+
+
+@query(
+    "ensure_columns",
+    "SELECT doc_id, 0.0::DOUBLE AS title_len, CAST(quality AS DOUBLE) AS cta_flag, 'unknown' AS category_id, '' AS text_total FROM labels",
+)
+def ensure_columns(spark, sf):
+    out = B.ensure_columns(table(spark, sf, "labels").withColumn("cta_flag", F.col("quality")))
+    return out.select("doc_id", "title_len", "cta_flag", "category_id", "text_total")
+
+
+@query("drop_unlabelled", "SELECT l.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def drop_unlabelled(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return B.drop_unlabelled(d, "quality").select("doc_id", "quality")
+
+
+@query("validate_dataset", "SELECT count(*) AS rows, count(DISTINCT quality) AS classes FROM labels")
+def validate(spark, sf):
+    checked = B.validate_dataset(table(spark, sf, "labels"), "quality")
+    return B.dataset_check(checked, "quality")
+
+
+CORPUS_FLAGS = ", ".join(f"{s.flag('text_total', t)} AS {k}_flag" for k, t in X.SIGNALS.items())
+POWER_CORE = "0.20 * cta_flag + 0.18 * benefit_flag + 0.15 * urgency_flag + 0.12 * trust_flag + 0.10 * promo_flag + 0.08 * price_flag"
+LENGTH_BONUS = "CASE WHEN {w} BETWEEN 8 AND 120 THEN 0.10 WHEN {w} > 120 THEN 0.04 ELSE 0 END"
+FIT_D = """CASE WHEN duration_seconds <= 0 THEN 0.5 WHEN duration_seconds <= 7 THEN 0.95 WHEN duration_seconds <= 15 THEN 0.9
+  WHEN duration_seconds <= 30 THEN 0.8 WHEN duration_seconds <= 60 THEN 0.7 WHEN duration_seconds <= 180 THEN 0.55 ELSE 0.4 END::DOUBLE"""
+CORPUS_SQL = f"""{V.VIDEOS_SQL},
+corpus0 AS (SELECT *, title || ' ' || description || ' ' || tags AS text_total FROM videos),
+corpus1 AS (SELECT *, CAST({s.words_n('text_total')} AS INTEGER) AS text_total_word_count, CAST(length(title) AS INTEGER) AS title_len,
+  CAST(length(description) AS INTEGER) AS description_len, {CORPUS_FLAGS}, {engagement_sql(True)}, {FIT_D} AS duration_fit_score FROM corpus0),
+corpus AS MATERIALIZED (SELECT *, round(least(CAST({POWER_CORE} + {LENGTH_BONUS.format(w='text_total_word_count')} AS DOUBLE), 1.0), 4) AS text_power_score FROM corpus1)"""
+CORPUS_COLUMNS = (
+    "title_len", "description_len", "text_total_word_count", "views", "likes", "comments", "engagement_rate", "like_rate",
+    "comment_rate", "views_per_day", "log_views", "log_likes", "log_comments", "cta_flag", "urgency_flag", "trust_flag",
+    "promo_flag", "benefit_flag", "price_flag", "text_power_score", "duration_fit_score",
+)
+
+
+def corpus_table(spark, sf):
+    return X.corpus_features(V.videos(spark, sf), V.AS_OF)
+
+
+@query("corpus_features", f"WITH {CORPUS_SQL} SELECT video_id, {', '.join(CORPUS_COLUMNS)} FROM corpus")
+def corpus_features(spark, sf):
+    return corpus_table(spark, sf).select("video_id", *CORPUS_COLUMNS)
+
+
+@query(
+    "project_features",
+    f"""WITH {CORPUS_SQL} SELECT video_id, md5(text_total) AS text_total, title_len, description_len, text_total_word_count,
+        cta_flag, urgency_flag, trust_flag, promo_flag, benefit_flag, price_flag, duration_seconds, category_id FROM corpus""",
+)
+def project_features(spark, sf):
+    out = B.project_features(corpus_table(spark, sf), keep=("video_id",))
+    return out.withColumn("text_total", F.md5("text_total"))
+
+
+@query(
+    "manual_over_api",
+    """SELECT d.doc_id, CASE WHEN quality = 1 THEN 'manual' WHEN lang <> 'en' THEN lang ELSE 'unknown' END AS category,
+       CAST(CASE WHEN toxic = 1 THEN 5 ELSE n_chars END AS DOUBLE) AS views FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def manual_api(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = d.withColumns(
+        {
+            "m_cat": F.when(F.col("quality") == 1, F.lit(" manual ")).otherwise(F.lit("  ")),
+            "a_cat": F.when(F.col("lang") != "en", F.col("lang")).otherwise(F.lit("")),
+            "m_views": F.col("toxic") * 5,
+        }
+    )
+    out = B.manual_over_api(d, {"category": ("m_cat", "a_cat", "unknown"), "views": ("m_views", "n_chars", 0.0)})
+    return out.select("doc_id", "category", "views")
+
+
+@query(
+    "resolve_transcript",
+    f"""SELECT doc_id, source_kind, CAST(CASE source_kind WHEN 'automatic' THEN n WHEN 'failed' THEN n WHEN 'manual' THEN n ELSE 0 END AS INTEGER) AS n,
+        source_kind IN ('automatic', 'manual') AS ok FROM (SELECT doc_id, n,
+          CASE WHEN media AND lang <> 'fr' AND n >= 8 THEN 'automatic' WHEN media THEN 'failed' WHEN n > 0 THEN 'manual' ELSE 'missing' END AS source_kind
+          FROM (SELECT doc_id, lang, {s.tokens_n('text')} AS n, n_chars % 2 = 0 AS media FROM documents))""",
+)
+def resolve(spark, sf):
+    d = V.documents(spark, sf).select(
+        "doc_id", (F.col("n_chars") % 2 == 0).alias("has_media"), F.col("text").alias("asr_text"),
+        (F.col("lang") != "fr").alias("asr_ok"), F.col("text").alias("manual_transcript"),
+    )
+    out = B.resolve_transcript(d)
+    return out.select(
+        "doc_id", F.col("transcript_source").alias("source_kind"), F.col("resolved_word_count").alias("n"), F.col("transcript_ok").alias("ok")
+    )
+
+
+# --- joins --------------------------------------------------------------------
+
+
+@query(
+    "channel_recent_videos",
+    f"""WITH {V.CHANNEL_VIDEOS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY event_id) AS r FROM channel_videos)
+        SELECT channel_id, video_id, views, likes FROM r WHERE r <= 20""",
+)
+def recent_videos(spark, sf):
+    channels = payloads.flatten_channel_payload(V.channel_payloads(spark, sf))
+    raw = V.upload_payloads(spark, sf).withColumn("key", F.struct("playlist_id", "sequence"))
+    items = payloads.flatten_uploads_payload(raw, playlist="key").select(
+        F.col("key.playlist_id").alias("playlist_id"), F.col("key.sequence").alias("position"), "video_id"
+    )
+    videos = payloads.flatten_video_payload(V.video_payloads(spark, sf)).select("video_id", "views", "likes")
+    return C.channel_recent_videos(channels, items, videos, 20).select("channel_id", "video_id", "views", "likes")
+
+
+@query(
+    "niche_cpm",
+    """SELECT c_custkey, coalesce(CASE n_name WHEN 'FRANCE' THEN 4.5 WHEN 'GERMANY' THEN 7.5 END, 5.6)::DOUBLE AS base_cpm
+       FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def niche_cpm(spark, sf):
+    from reelscope.operators.paid import niche_cpm as attach
+
+    nation = table(spark, sf, "nation")
+    named = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        "c_custkey", F.col("n_name").alias("ad_niche")
+    )
+    costs = nation.where(F.col("n_name").isin("FRANCE", "GERMANY")).select(
+        F.col("n_name").alias("niche"), F.when(F.col("n_name") == "FRANCE", 4.5).otherwise(7.5).alias("base_cpm")
+    )
+    return attach(named, costs).select("c_custkey", "base_cpm")
+
+
+@query(
+    "attach_split_rows",
+    "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+)
+def split_rows(spark, sf):
+    ids = table(spark, sf, "labels").where(F.col("quality") == 1)
+    return E.attach_split_rows(table(spark, sf, "documents").select("doc_id", "lang"), ids, "doc_id")
+
+
+@query(
+    "attach_predictions",
+    "SELECT l.doc_id, quality, toxic, CAST(n_chars >= 1200 AS INTEGER) AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
+)
+def predictions(spark, sf):
+    p = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 1200).cast("int").alias("pred"))
+    return E.attach_predictions(table(spark, sf, "labels"), p, "doc_id")
+
+
+@query(
+    "attach_global_stats",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {s.r6('l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem)')} AS share FROM lineitem",
+)
+def global_stats(spark, sf):
+    from reelscope.operators.ordering import with_scalars
+
+    l = table(spark, sf, "lineitem")
+    out = with_scalars(l, l.agg(F.max("l_extendedprice").alias("top")))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(F.col("l_extendedprice") / F.col("stats.top"), "share"))
+
+
+# --- de-duplication and set operations ------------------------------------------
+
+
+@query(
+    "dedup_latest",
+    """SELECT l_orderkey, l_extendedprice, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+       ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""",
+)
+def dedup_latest(spark, sf):
+    out = U.dedup_latest(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", ("l_partkey", "l_suppkey", "l_linenumber"))
+    return out.select("l_orderkey", "l_extendedprice", "l_partkey")
+
+
+@query(
+    "union_by_name",
+    """SELECT CAST(o_orderkey AS BIGINT) AS k, o_totalprice AS price, 'none' AS segment FROM orders
+       UNION ALL SELECT c_custkey, -1, c_mktsegment FROM customer""",
+)
+def union(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return U.union_by_name([o, c]).select(
+        "k", F.coalesce("price", F.lit(-1.0)).alias("price"), F.coalesce("segment", F.lit("none")).alias("segment")
+    )
+
+
+@query("recombine", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def recombine(spark, sf):
+    o = table(spark, sf, "orders")
+    cheap = F.col("o_totalprice") < 100000
+    return U.recombine(o.where(cheap), o.where(~cheap)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+DOC_LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"""
+
+
+@query(
+    "exact_line_dedup",
+    f"""WITH {DOC_LINES} SELECT doc_id, CAST(i AS INTEGER) AS i, md5(line) AS line FROM (SELECT *, row_number() OVER
+        (PARTITION BY doc_id, lower(line) ORDER BY i) AS r FROM lines) WHERE r = 1""",
+)
+def exact_lines(spark, sf):
+    lines = V.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("i", F.col("p") + 1)
+    out = U.exact_line_dedup(lines, "doc_id", "line", ["i"])
+    return out.select("doc_id", "i", F.md5("line").alias("line"))
+
+
+def containment_sql(arr: str) -> str:
+    return (
+        f"list_reduce(list_transform({arr}, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda e: "
+        "contains(lower(e), lower(y[1])) OR contains(lower(y[1]), lower(e)))) > 0 THEN acc ELSE list_concat(acc, y) END, CAST([] AS VARCHAR[]))"
+    )
+
+
+@query(
+    "containment_dedup",
+    f"""SELECT doc_id, CAST(len(k) AS INTEGER) AS n, md5(array_to_string(k, '|')) AS lines
+        FROM (SELECT doc_id, {containment_sql("string_split(text, chr(10))")} AS k FROM documents)""",
+)
+def containment(spark, sf):
+    d = V.documents(spark, sf).select("doc_id", U.containment_dedup(F.split("text", "\n")).alias("k"))
+    return d.select("doc_id", F.size("k").alias("n"), F.md5(F.array_join("k", "|")).alias("lines"))
+
+
+@query("fuzzy_line_dedup")
+def fuzzy(spark, sf):
+    d = V.documents(spark, sf).select("doc_id", U.fuzzy_line_dedup(F.split("text", "\n")).alias("k"))
+    return d.select("doc_id", F.size("k").alias("n"), F.md5(F.array_join("k", "|")).alias("lines"))
+
+
+# --- sampling -----------------------------------------------------------------
+
+ORDER_HASH = "row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || ':42'))"
+ORDER_SIZES = "SELECT o_orderkey, o_orderstatus, {h} AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n, count(*) OVER () AS total FROM orders"
+
+
+def orders(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 150")
+def top_k(spark, sf):
+    return S.top_k(orders(spark, sf), "o_totalprice", 150, ("o_orderkey",)).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "stratified_split",
+    f"SELECT o_orderkey, o_orderstatus, r <= {s.bround('n * 0.2::DOUBLE')} AS is_test FROM ({ORDER_SIZES.format(h=ORDER_HASH)})",
+)
+def split(spark, sf):
+    return S.stratified_split(orders(spark, sf), "o_orderkey", "o_orderstatus", 0.20).drop("o_totalprice")
+
+
+@query(
+    "three_way_split",
+    f"""WITH a AS (SELECT *, r <= {s.bround('n * 0.15::DOUBLE')} AS t FROM ({ORDER_SIZES.format(h=ORDER_HASH)})),
+        b AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || ':42v'))
+              <= {s.bround('count(*) OVER (PARTITION BY o_orderstatus) * (0.15::DOUBLE / 0.85::DOUBLE)')} AS v FROM a WHERE NOT t)
+        SELECT CASE WHEN t THEN 'test' WHEN v THEN 'val' ELSE 'train' END AS part, o_orderstatus, count(*) AS n
+        FROM a LEFT JOIN b USING (o_orderkey) GROUP BY 1, 2""",
+)
+def three_way(spark, sf):
+    out = S.three_way_split(orders(spark, sf), "o_orderkey", "o_orderstatus")
+    return out.groupBy("part", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stratified_subsample",
+    f"SELECT o_orderkey, o_orderstatus FROM ({ORDER_SIZES.format(h=ORDER_HASH)}) WHERE total <= 1000 OR r <= greatest({s.bround('n * (1000.0::DOUBLE / total)')}, 1)",
+)
+def subsample(spark, sf):
+    return S.stratified_subsample(orders(spark, sf), "o_orderkey", "o_orderstatus", 1000).drop("o_totalprice")
+
+
+@query("kfold_stratified", f"SELECT o_orderkey, CAST((r - 1) % 5 AS INTEGER) AS fold FROM ({ORDER_SIZES.format(h=ORDER_HASH)})")
+def kfold(spark, sf):
+    return S.kfold_stratified(orders(spark, sf), "o_orderkey", "o_orderstatus", 5).select("o_orderkey", "fold")
+
+
+CURVE_SQL = " UNION ALL ".join(
+    f"SELECT {size} AS size, o_orderstatus, count(*) AS n FROM ({ORDER_SIZES.format(h=ORDER_HASH)}) "
+    f"WHERE r <= least(greatest(20, {s.bround(f'{size}.0::DOUBLE * (n::DOUBLE / total)')}), n) GROUP BY 1, 2"
+    for size in (1000, 3000, 7000)
+)
+
+
+@query("curve_subsets", CURVE_SQL)
+def curve(spark, sf):
+    parts = [
+        S.curve_subset(orders(spark, sf), "o_orderkey", "o_orderstatus", size).groupBy(F.lit(size).alias("size"), "o_orderstatus").agg(F.count("*").alias("n"))
+        for size in (1000, 3000, 7000)
+    ]
+    return U.union_by_name(parts)
+
+
+@query("bootstrap_subset", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':42') LIMIT 300")
+def bootstrap(spark, sf):
+    return S.bootstrap_subset(orders(spark, sf), "o_orderkey", 300).select("o_orderkey")
+
+
+# --- profiles and labels --------------------------------------------------------
+
+PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    "profile_stats",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, {s.r6(f'avg({c})')} AS mean, {s.r6(f'stddev_samp({c})')} AS std,
+        {s.r6(f'min({c})')} AS min, {s.r6(f'quantile_cont({c}, 0.25)')} AS p25, {s.r6(f'quantile_cont({c}, 0.5)')} AS p50,
+        {s.r6(f'quantile_cont({c}, 0.75)')} AS p75, {s.r6(f'max({c})')} AS max FROM lineitem"""
+        for c in PROFILE_COLS
+    ),
+)
+def profile(spark, sf):
+    out = P.profile_stats(table(spark, sf, "lineitem"), PROFILE_COLS)
+    return out.select("column", "count", *[r6(c, c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+@query(
+    "null_profile",
+    """SELECT 'quality' AS "column", count(*) FILTER (quality IS NULL) AS nulls,
+       round((count(*) FILTER (quality IS NULL))::DOUBLE / count(*), 6) AS null_fraction FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+       UNION ALL SELECT 'toxic', count(*) FILTER (toxic IS NULL), round((count(*) FILTER (toxic IS NULL))::DOUBLE / count(*), 6)
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def nulls(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    return P.null_profile(d).select("column", "nulls", r6("null_fraction", "null_fraction"))
+
+
+@query("duplicate_count", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text), lang)")
+def duplicates(spark, sf):
+    return P.duplicate_count(V.documents(spark, sf).select(F.md5("text").alias("text"), "lang"))
+
+
+@query(
+    "top_share",
+    """SELECT lang AS value, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY 1
+       ORDER BY 2 DESC, 1 LIMIT 15""",
+)
+def top_share(spark, sf):
+    return P.top_share(table(spark, sf, "documents"), "lang").select("value", "n", r6("share", "share"))
+
+
+@query(
+    "class_balance",
+    """SELECT quality, count(*) AS n, round(avg(toxic), 6) AS toxic_mean, round(count(*)::DOUBLE / (SELECT count(*) FROM labels), 6) AS share
+       FROM labels GROUP BY 1""",
+)
+def balance(spark, sf):
+    out = P.class_balance(table(spark, sf, "labels"), "quality", ("toxic",))
+    return out.select("quality", "n", r6("toxic_mean", "toxic_mean"), r6("share", "share"))
+
+
+def scaled_sql(c: str) -> str:
+    lo, hi = f"(SELECT quantile_cont({c}, 0.02) FROM corpus)", f"(SELECT quantile_cont({c}, 0.98) FROM corpus)"
+    return f"CASE WHEN {hi} - {lo} = 0 THEN 0.0::DOUBLE ELSE (greatest({lo}, least({hi}, {c})) - {lo}) / ({hi} - {lo}) END"
+
+
+LABEL_SQL = f"""WITH {CORPUS_SQL}, scored_corpus AS MATERIALIZED (
+  SELECT *, {' + '.join(f"({scaled_sql(c)}) * {w}::DOUBLE" for c, w in fv.LABEL_WEIGHTS.items())} AS score FROM corpus),
+labelled AS MATERIALIZED (SELECT *, (SELECT quantile_cont(score, 0.7) FROM scored_corpus) AS threshold,
+  CAST(score >= (SELECT quantile_cont(score, 0.7) FROM scored_corpus) AS INTEGER) AS boost_candidate FROM scored_corpus)"""
+
+
+def labelled(spark, sf, keep=()):
+    """Label over a narrow, materialised projection of the features."""
+    narrow = corpus_table(spark, sf).select("video_id", *fv.LABEL_WEIGHTS, *keep)
+    return L.organic_score_label(materialize(narrow))
+
+
+@query(
+    "robust_minmax",
+    f"WITH {CORPUS_SQL} SELECT video_id, " + ", ".join(f"{s.r6(scaled_sql(c))} AS {c}" for c in fv.LABEL_WEIGHTS) + " FROM corpus",
+)
+def minmax(spark, sf):
+    narrow = materialize(corpus_table(spark, sf).select("video_id", *fv.LABEL_WEIGHTS))
+    return L.robust_minmax(narrow, fv.LABEL_WEIGHTS).select("video_id", *[r6(f"{c}_scaled", c) for c in fv.LABEL_WEIGHTS])
+
+
+@query(
+    "organic_score_label",
+    LABEL_SQL + f" SELECT video_id, {s.r6('score')} AS score, {s.r6('threshold')} AS threshold, boost_candidate FROM labelled",
+)
+def label(spark, sf):
+    return labelled(spark, sf).select(
+        "video_id", r6("organic_performance_score", "score"), r6("target_threshold", "threshold"), "boost_candidate"
+    )
+
+
+@query(
+    "label_rate_by_category",
+    LABEL_SQL + f" SELECT category_id, count(*) AS n, {s.r6('avg(boost_candidate)')} AS rate FROM labelled GROUP BY 1",
+)
+def label_rate(spark, sf):
+    out = labelled(spark, sf, ("category_id",))
+    return out.groupBy("category_id").agg(F.count("*").alias("n"), r6(F.avg("boost_candidate"), "rate"))
+
+
+TERCILE_SQL = f"""WITH {V.VIDEOS_SQL}, {V.ADS_SQL}, perf AS MATERIALIZED (SELECT ad_id, {s.r6(
+    "(1 - greatest(0.0, least(1.0, skip_rate))) * 0.4::DOUBLE + greatest(0.0, least(1.0, full_watch_rate)) * 0.4::DOUBLE"
+    " + log_viewCount / (SELECT max(log_viewCount) FROM ads) * 0.2::DOUBLE")} AS p FROM ads),
+cuts AS MATERIALIZED (SELECT quantile_cont(p, 0.333) AS a, quantile_cont(p, 0.666) AS b FROM perf)"""
+
+
+@query(
+    "performance_tercile",
+    TERCILE_SQL + """ SELECT performance_potential, high_performance, count(*) AS n FROM (
+      SELECT CASE WHEN p <= a THEN 'bajo' WHEN p <= b THEN 'medio' ELSE 'alto' END AS performance_potential, CAST(p >= b AS INTEGER) AS high_performance
+      FROM perf, cuts) GROUP BY 1, 2""",
+)
+def tercile(spark, sf):
+    narrow = materialize(V.ads(spark, sf).select("ad_id", "skip_rate", "full_watch_rate", "log_viewCount"))
+    out = L.performance_tercile(narrow)
+    return out.groupBy("performance_potential", "high_performance").agg(F.count("*").alias("n"))
+
+
+@query("dataset_summary")
+def summary(spark, sf):
+    keep = ("views", "likes", "comments", "duration_seconds", "title_len", "cta_flag", "promo_flag", "category_id", "source_file")
+    out = P.dataset_summary(materialize(labelled(spark, sf, keep)))
+    return out.select(F.to_json(F.struct("*")).alias("summary"), "rows", "duplicates", "dataset_kind")
+
+
+__all__ = ["joined"]

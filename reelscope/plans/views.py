@@ -21,7 +21,7 @@ doc_events AS (
          CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) AS likes,
          CAST(count(*) FILTER (event_type = 'signup') AS DOUBLE) AS comments,
          CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS shares,
-         round(sum(value) / count(*), 2) AS average_watch_time,
+         round(sum(value), 2) / count(*) AS average_watch_time,
          min(ts) AS published_at
   FROM events, n_docs GROUP BY 1),
 videos AS (
@@ -55,7 +55,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
             counted("click").alias("likes"),
             counted("signup").alias("comments"),
             counted("purchase").alias("shares"),
-            F.round(F.sum("value") / F.count("*"), 2).alias("average_watch_time"),
+            (F.round(F.sum("value"), 2) / F.count("*")).alias("average_watch_time"),
             F.min("ts").alias("published_at"),
         )
     )
@@ -160,7 +160,7 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
     """Frame statistics: an embedding is an 8 x 8 gray picture drawn at double size; strong cells are edges."""
     e = F.transform("embedding", lambda v: v.cast("double"))
     gray = F.transform(e, lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v + 0.5) * 255))).cast("int"))
-    strong = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.abs(F.get(e, i)) > 0.1)
+    strong = F.array_compact(F.transform("embedding", lambda v, i: F.when(F.abs(v.cast("double")) > 0.1, i)))
 
     def four(i):
         x, y = (i % 8) * 2, F.floor(i / 8).cast("int") * 2

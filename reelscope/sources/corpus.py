@@ -69,9 +69,10 @@ def parse_transcript(value: Column) -> Column:
 
     # An array element is an object with a text, or a plain scalar.
     joined = F.array_join(
-        F.transform(
+        F.zip_with(
             as_scalars,
-            lambda x, i: F.when(x.startswith("{"), F.coalesce(F.get(as_objects, i)["text"], F.lit(""))).otherwise(
+            as_objects,
+            lambda x, o: F.when(x.startswith("{"), F.coalesce(o["text"], F.lit(""))).otherwise(
                 F.coalesce(x, F.lit("None"))
             ),
         ),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.functions import text as T
+from reelscope.functions.numeric import let
 from reelscope.operators.dedup import union_by_name
 
 CSV_OPTIONS = {"header": True, "mode": "PERMISSIVE", "multiLine": True, "quote": '"', "escape": '"'}
@@ -68,15 +69,18 @@ def parse_transcript(value: Column) -> Column:
         return F.coalesce(F.array_contains(keys, k), F.lit(False))
 
     # An array element is an object with a text, or a plain scalar.
-    joined = F.array_join(
-        F.zip_with(
-            as_scalars,
-            as_objects,
-            lambda x, o: F.when(x.startswith("{"), F.coalesce(o["text"], F.lit(""))).otherwise(
-                F.coalesce(x, F.lit("None"))
+    both = F.struct(as_scalars.alias("plain"), as_objects.alias("objects"))
+    joined = let(
+        both,
+        lambda b: F.array_join(
+            F.transform(
+                b["plain"],
+                lambda x, i: F.when(
+                    x.startswith("{"), F.coalesce(F.get(b["objects"], i)["text"], F.lit(""))
+                ).otherwise(F.coalesce(x, F.lit("None"))),
             ),
+            " ",
         ),
-        " ",
     )
     segments = F.array_join(F.transform(doc["segments"], lambda s: F.coalesce(s["text"], F.lit(""))), " ")
     text = (

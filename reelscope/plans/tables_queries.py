@@ -635,11 +635,11 @@ def labelled(spark, sf, keep=()):
 
 @query(
     "robust_minmax",
-    f"WITH {CORPUS_SQL} SELECT video_id, " + ", ".join(f"{s.r6(scaled_sql(c))} AS {c}" for c in fv.LABEL_WEIGHTS) + " FROM corpus",
+    f"WITH {CORPUS_SQL} SELECT video_id, " + ", ".join(f"round({scaled_sql(c)}, 9) AS {c}" for c in fv.LABEL_WEIGHTS) + " FROM corpus",
 )
 def minmax(spark, sf):
     narrow = materialize(corpus_table(spark, sf).select("video_id", *fv.LABEL_WEIGHTS))
-    return L.robust_minmax(narrow, fv.LABEL_WEIGHTS).select("video_id", *[r6(f"{c}_scaled", c) for c in fv.LABEL_WEIGHTS])
+    return L.robust_minmax(narrow, fv.LABEL_WEIGHTS).select("video_id", *[F.round(f"{c}_scaled", 9).alias(c) for c in fv.LABEL_WEIGHTS])
 
 
 @query(
@@ -684,6 +684,3 @@ def summary(spark, sf):
     keep = ("views", "likes", "comments", "duration_seconds", "title_len", "cta_flag", "promo_flag", "category_id", "source_file")
     out = P.dataset_summary(materialize(labelled(spark, sf, keep)))
     return out.select(F.to_json(F.struct("*")).alias("summary"), "rows", "duplicates", "dataset_kind")
-
-
-__all__ = ["joined"]

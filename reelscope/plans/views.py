@@ -21,7 +21,7 @@ doc_events AS (
          CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) AS likes,
          CAST(count(*) FILTER (event_type = 'signup') AS DOUBLE) AS comments,
          CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS shares,
-         round(sum(value), 2) / count(*) AS average_watch_time,
+         5 * ln(1 + round(sum(value), 2)) AS average_watch_time,
          min(ts) AS published_at
   FROM events, n_docs GROUP BY 1),
 videos AS (
@@ -55,7 +55,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
             counted("click").alias("likes"),
             counted("signup").alias("comments"),
             counted("purchase").alias("shares"),
-            (F.round(F.sum("value"), 2) / F.count("*")).alias("average_watch_time"),
+            (F.log1p(F.round(F.sum("value"), 2)) * 5).alias("average_watch_time"),
             F.min("ts").alias("published_at"),
         )
     )

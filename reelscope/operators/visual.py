@@ -79,6 +79,11 @@ def frame_scores(frames: DataFrame) -> DataFrame:
     return base.withColumns({k: F.round(v, 3) for k, v in scores.items()}).select(*frames.columns, *scores)
 
 
+def frame_scores_with(frames: DataFrame) -> DataFrame:
+    """Frame scores without the pixel columns, ready for the roll-up."""
+    return frame_scores(frames).drop("gray", "edge_points", "width", "height")
+
+
 def frame_motion(frames: DataFrame, video: str = "video_id", order: str = "frame_index") -> DataFrame:
     """Mean absolute gray difference to the previous frame of the video, over 255; null for the first.
 

@@ -49,19 +49,32 @@ def word_count(value) -> Column:
     return F.regexp_count(text(value), F.lit(WORD))
 
 
+def count_chars(t: Column, char_class: str) -> Column:
+    """Characters of a class, as the length lost by removing its runs (no array of matches)."""
+    return F.length(t) - F.length(F.regexp_replace(t, f"[{char_class}]+", ""))
+
+
+def count_text(t: Column, needle: str) -> Column:
+    return F.length(t) - F.length(F.replace(t, F.lit(needle), F.lit("")))
+
+
 def uppercase_ratio(value) -> Column:
-    letters = F.regexp_count(text(value), F.lit(r"\p{L}"))
-    upper = F.regexp_count(text(value), F.lit(r"\p{Lu}"))
-    return F.when(letters > 0, F.round(upper / letters, 4)).otherwise(F.lit(0.0))
+    counts = F.struct(
+        count_chars(text(value), r"\p{L}").alias("letters"), count_chars(text(value), r"\p{Lu}").alias("upper")
+    )
+    return let(
+        counts,
+        lambda c: F.when(c["letters"] > 0, F.round(c["upper"] / c["letters"], 4)).otherwise(F.lit(0.0)),
+    )
 
 
 def char_counts(value) -> dict[str, Column]:
     t = text(value)
     return {
         "text_total_len": F.length(t),
-        "exclamation_count": F.regexp_count(t, F.lit("!")),
-        "question_count": F.regexp_count(t, F.lit(r"\?")),
-        "digit_count": F.regexp_count(t, F.lit(r"\p{Nd}")),
+        "exclamation_count": count_text(t, "!"),
+        "question_count": count_text(t, "?"),
+        "digit_count": count_chars(t, r"\p{Nd}"),
     }
 
 
@@ -198,9 +211,9 @@ def normal_line_quality(c: Column) -> Column:
     """Quality of a line that is normalised already."""
     n = F.greatest(F.length(c), F.lit(1))
     shares = F.struct(
-        (F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / n).alias("alnum"),
-        (F.regexp_count(c, F.lit(r"\p{L}")) / n).alias("letters"),
-        (F.regexp_count(c, F.lit(r"[^\p{L}\p{N}" + SPACE + r".,:;!?¿¡%$#@+\-/()]")) / n).alias("odd"),
+        (count_chars(c, r"\p{L}\p{N}") / n).alias("alnum"),
+        (count_chars(c, r"\p{L}") / n).alias("letters"),
+        (count_chars(c, r"^\p{L}\p{N}" + SPACE + r".,:;!?¿¡%$#@+\-/()") / n).alias("odd"),
     )
 
     def score(x):

@@ -59,7 +59,7 @@ def script_quality(df: DataFrame, transcript: str = "transcript") -> DataFrame:
             "trust_count": _QUALITY.hits("_f", "trust"),
             "exaggerated_claim_count": _QUALITY.hits("_f", "exaggerated"),
             "_len": T.mean_sentence_length("_t"),
-            "_bang": F.regexp_count("_t", F.lit("!")),
+            "_bang": T.count_text(F.col("_t"), "!"),
         }
     )
     n = F.col("transcript_word_count")
@@ -239,7 +239,7 @@ def script_signals(df: DataFrame, category="category_id", topic="ad_category") -
             "_gf": _OPENING.scan(F.substring(F.lower("_hook"), 1, 180)),
             "_n": T.token_count("_tr"),
             "_len": T.mean_sentence_length("_tr", ".!?¿¡"),
-            "_bang": F.regexp_count("_all", F.lit("!")),
+            "_bang": T.count_text(F.col("_all"), "!"),
         }
     )
 

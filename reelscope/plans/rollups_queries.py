@@ -177,7 +177,7 @@ def recent_n(spark, sf):
 
 @query(
     "channel_reach",
-    f"""WITH {RECENT_SQL}, subs AS (SELECT 'UC' || user_id AS channel_id, count(*) FILTER (event_type = 'purchase') * 10 AS sc FROM events GROUP BY 1),
+    f"""WITH {RECENT_SQL}, subs AS (SELECT 'UC' || user_id AS channel_id, count(*) FILTER (event_type = 'purchase') * 10 + 3 AS sc FROM events GROUP BY 1),
         g AS (SELECT channel_id, count(*) AS videos_sampled, round(avg(views), 1) AS av, round(median(views), 1) AS md, round(avg(likes), 1) AS al, round(avg(comments), 1) AS ac FROM recent GROUP BY 1)
         SELECT channel_id, videos_sampled, av AS avg_views_recent, md AS median_views_recent, al AS avg_likes_recent, ac AS avg_comments_recent,
           CASE WHEN av <> 0 THEN round((al + ac) / av, 4) ELSE 0 END AS avg_public_engagement_recent, CASE WHEN sc <> 0 THEN round(av / sc, 4) ELSE 0 END AS views_per_subscriber_recent

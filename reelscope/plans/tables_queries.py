@@ -76,7 +76,7 @@ def read_transcripts(spark, sf):
     "flatten_channel_payload",
     """SELECT 'UC' || user_id AS channel_id, 'Channel ' || user_id AS channel_title,
          CASE WHEN user_id % 2 = 0 THEN 'About ' || user_id ELSE '' END AS channel_description,
-         CAST(count(*) FILTER (event_type = 'purchase') * 10 AS BIGINT) AS subscriber_count, user_id % 3 = 0 AS hidden_subscriber_count,
+         CAST(count(*) FILTER (event_type = 'purchase') * 10 + 3 AS BIGINT) AS subscriber_count, user_id % 3 = 0 AS hidden_subscriber_count,
          CAST(count(*) * 100 AS BIGINT) AS channel_view_count, CAST(count(*) AS BIGINT) AS channel_video_count,
          'UU' || user_id AS uploads_playlist_id FROM events GROUP BY user_id""",
 )

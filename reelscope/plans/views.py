@@ -193,7 +193,7 @@ def channel_payloads(spark: SparkSession, sf: str) -> DataFrame:
             F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
         ).alias("snippet"),
         F.struct(
-            (F.col("p") * 10).cast("string").alias("subscriberCount"),
+            (F.col("p") * 10 + 3).cast("string").alias("subscriberCount"),
             F.when(F.col("user_id") % 3 == 0, F.lit(True)).alias("hiddenSubscriberCount"),
             (F.col("n") * 100).cast("string").alias("viewCount"),
             F.col("n").cast("string").alias("videoCount"),

@@ -28,10 +28,19 @@ def let(value: Column, body) -> Column:
 
 def safe_float(value, default=0.0) -> Column:
     """Any input to a finite double; everything else becomes ``default``."""
-    c = col(value)
-    text = c.cast("string")
-    # The JVM reads a trailing d/f as a type suffix; plain numbers never carry one.
-    x = F.when(~text.rlike("[dDfF][\\s]*$"), c.try_cast("double"))
+    if isinstance(value, str):
+        # Written as one SQL expression: a plan with hundreds of these builds much faster.
+        name = ".".join(f"`{part}`" for part in value.split("."))
+        x = f"try_cast({name} AS double)"
+        finite = (
+            f"CASE WHEN NOT isnan({x}) AND abs({x}) != double('infinity') "
+            f"AND NOT (cast({name} AS string) rlike '[dDfF][ ]*$') THEN {x} END"
+        )
+        if isinstance(default, Column):
+            return F.coalesce(F.expr(finite), default)
+        return F.expr(f"coalesce({finite}, {float(default)!r}D)")
+    c = value
+    x = F.when(~c.cast("string").rlike("[dDfF][ ]*$"), c.try_cast("double"))
     finite = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
     return F.coalesce(finite, num(default))
 
@@ -87,12 +96,16 @@ def steps(value, cuts, rest) -> Column:
     return chain.otherwise(F.lit(rest))
 
 
-def lookup(key, table: dict, default) -> Column:
-    """Small constant table as a CASE expression, folded into the generated code."""
-    chain = None
-    for k, v in table.items():
-        chain = F.when(key == k, F.lit(v)) if chain is None else chain.when(key == k, F.lit(v))
-    return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
+def lookup(key: Column, table: dict, default) -> Column:
+    """Small constant table as one map literal; missing and null keys give the default."""
+    def sql(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{float(v)!r}D"
+
+    entries = ", ".join(f"{sql(k)}, {sql(v)}" for k, v in table.items())
+    rest = default if isinstance(default, Column) else F.lit(default if isinstance(default, str) else float(default))
+    return F.coalesce(F.expr(f"map({entries})")[key], rest)
 
 
 def engagement(views, likes, comments, published_at, as_of, *, corpus: bool = False) -> dict[str, Column]:

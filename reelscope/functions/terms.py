@@ -60,22 +60,21 @@ class TermIndex:
         """``array<int>``: ids of all terms contained in the text (empty for null)."""
         return _scanner(self.terms)(col(text))
 
-    def _ids(self, name) -> Column:
-        return F.expr("array(" + ",".join(str(self._id[t]) for t in self.lists[name]) + ")")
+    def _ids(self, name) -> str:
+        return "array(" + ",".join(str(self._id[t]) for t in self.lists[name]) + ")"
 
-    def hits(self, found, name) -> Column:
-        """Number of distinct terms of the list that occur."""
-        return F.size(F.array_intersect(col(found), self._ids(name)))
+    def hits(self, found: str, name) -> Column:
+        """Number of distinct terms of the list among the found ids (a column name)."""
+        return F.expr(f"size(array_intersect({found}, {self._ids(name)}))")
 
-    def any(self, found, name) -> Column:
-        """1 when at least one term of the list occurs, else 0."""
-        return F.arrays_overlap(col(found), self._ids(name)).cast("int")
+    def any(self, found: str, name) -> Column:
+        """1 when at least one term of the list is among the found ids, else 0."""
+        return F.expr(f"cast(arrays_overlap({found}, {self._ids(name)}) AS int)")
 
     def words(self, found, name) -> Column:
         """The terms found, in list order."""
-        own = F.array_intersect(self._ids(name), col(found))
-        table = F.expr("array(" + ",".join(sql_text(t) for t in self.terms) + ")")
-        return F.transform(own, lambda i: F.get(table, i))
+        table = "array(" + ",".join(sql_text(t) for t in self.terms) + ")"
+        return F.expr(f"transform(array_intersect({self._ids(name)}, {found}), i -> {table}[i])")
 
 
 def sql_text(value: str) -> str:
@@ -86,8 +85,7 @@ def contains_any(text, terms) -> Column:
     """0/1: does any term occur (case-insensitive substring)?"""
     words = tuple(dict.fromkeys(t.lower() for t in terms))
     if len(words) > INLINE_LIMIT:
-        index = TermIndex({"t": words})
-        return index.any(index.scan(text), "t")
+        return (F.size(TermIndex({"t": words}).scan(text)) > 0).cast("int")
     low = F.lower(F.coalesce(col(text), F.lit("")))
     condition = low.contains(words[0])
     for w in words[1:]:
@@ -99,8 +97,7 @@ def term_hits(text, terms) -> Column:
     """Number of distinct terms that occur (case-insensitive substring)."""
     words = tuple(dict.fromkeys(t.lower() for t in terms))
     if len(words) > INLINE_LIMIT:
-        index = TermIndex({"t": words})
-        return index.hits(index.scan(text), "t")
+        return F.size(TermIndex({"t": words}).scan(text))
     low = F.lower(F.coalesce(col(text), F.lit("")))
     total = low.contains(words[0]).cast("int")
     for w in words[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from reelscope import fixed_values as fv
 from reelscope.functions.numeric import clip, col, let
-from reelscope.functions.terms import TermIndex, sql_text
+from reelscope.functions.terms import contains_any, sql_text, term_hits
 
 SPACE = r"\s\x0b\p{Z}\x1c-\x1f\x{85}"
 WORD = r"[\p{L}\p{N}_]+"
@@ -22,7 +22,10 @@ SPACE_CHARS = "".join(
 
 
 def text(value) -> Column:
-    return F.coalesce(col(value).cast("string"), F.lit(""))
+    if isinstance(value, str):
+        name = ".".join(f"`{part}`" for part in value.split("."))
+        return F.expr(f"coalesce(cast({name} AS string), '')")
+    return F.coalesce(value.cast("string"), F.lit(""))
 
 
 def strip(value) -> Column:
@@ -283,15 +286,13 @@ def coerce_contract(json_text, fallback) -> Column:
     return F.struct(*fields)
 
 
-GENERATED_INDEX = TermIndex({"domain": fv.GENERATED_DOMAIN_TERMS, "forbidden": fv.GENERATED_FORBIDDEN})
-
-
 def generated_text_quality(value, *, min_words=fv.GENERATED_MIN_WORDS, min_domain=2, min_unique=0.72) -> Column:
     """struct(ok, reason): first failing rule wins."""
     t = F.lower(strip_fences(value))
     tokens = F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))
     n = F.regexp_count(t, F.lit(WORD))
-    found = GENERATED_INDEX.scan(t)
+    domain = term_hits(t, fv.GENERATED_DOMAIN_TERMS)
+    forbidden = contains_any(t, fv.GENERATED_FORBIDDEN)
 
     def distinct_share(w):
         grams = F.transform(
@@ -308,8 +309,8 @@ def generated_text_quality(value, *, min_words=fv.GENERATED_MIN_WORDS, min_domai
     return (
         F.when(t == "", out(False, "vacia"))
         .when(n < min_words, out(False, "corta"))
-        .when(GENERATED_INDEX.any(found, "forbidden") == 1, out(False, "incoherente"))
-        .when(GENERATED_INDEX.hits(found, "domain") < min_domain, out(False, "fuera_de_dominio"))
+        .when(forbidden == 1, out(False, "incoherente"))
+        .when(domain < min_domain, out(False, "fuera_de_dominio"))
         .when(unique < min_unique, out(False, "repetitiva"))
         .otherwise(out(True, "ok"))
     )

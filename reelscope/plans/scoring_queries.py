@@ -21,15 +21,15 @@ from reelscope.session import table
 # Every event is a decision case: the columns are spread over all branches.
 CASES_SQL = """cases AS MATERIALIZED (SELECT event_id, CAST(event_id AS VARCHAR) AS video_id, event_type || ' ' || event_id AS title, props AS description,
   CASE WHEN event_id % 3 = 0 THEN '' ELSE props || ' ' || event_type END AS transcript_text, CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END AS ocr_text,
-  round((event_id % 97) / 96.0::DOUBLE, 4) AS probability, round(value / 170.0::DOUBLE, 6) AS engagement_rate, round(value / 190.0::DOUBLE, 6) AS like_rate,
+  (event_id % 97) / 96.0::DOUBLE AS probability, round(value / 170.0::DOUBLE, 6) AS engagement_rate, round(value / 190.0::DOUBLE, 6) AS like_rate,
   round(value / 990.0::DOUBLE, 6) AS comment_rate, floor(value * 13)::DOUBLE AS views, floor(value * 2)::DOUBLE AS likes, floor(value)::DOUBLE AS comments,
-  (user_id % 101) / 100.0::DOUBLE AS retention_rate, round(value * 17, 4) AS views_per_hour, round(value * 9, 4) AS views_per_day, (event_id % 90)::DOUBLE AS duration_seconds,
-  (event_id % 130)::DOUBLE AS budget, (1 + event_id % 29)::DOUBLE AS hours_since_publication, CAST(event_id % 2 AS INTEGER) AS cta_flag, CAST(event_id % 3 = 0 AS INTEGER) AS benefit_flag,
+  (user_id % 101) / 101.0::DOUBLE AS retention_rate, round(value * 17, 4) AS views_per_hour, round(value * 9, 4) AS views_per_day, (event_id % 90)::DOUBLE AS duration_seconds,
+  (event_id % 130) / 0.9::DOUBLE AS budget, (1 + event_id % 29)::DOUBLE AS hours_since_publication, CAST(event_id % 2 AS INTEGER) AS cta_flag, CAST(event_id % 3 = 0 AS INTEGER) AS benefit_flag,
   CAST(event_id % 4 = 1 AS INTEGER) AS promo_flag, CAST(event_id % 6 = 1 AS INTEGER) AS trust_flag, CAST(event_id % 7 = 0 AS INTEGER) AS price_flag, CAST(event_id % 11 = 0 AS INTEGER) AS ocr_cta_flag,
-  0 AS ocr_promo_flag, 0 AS ocr_trust_flag, CAST(event_id % 60 AS INTEGER) AS ocr_word_count, (event_id % 10) / 10.0::DOUBLE AS text_power_score, 0.1::DOUBLE * (event_id % 11) AS duration_fit_score,
+  0 AS ocr_promo_flag, 0 AS ocr_trust_flag, CAST(event_id % 60 AS INTEGER) AS ocr_word_count, (event_id % 10) / 9.0::DOUBLE AS text_power_score, 0.1::DOUBLE * (event_id % 11) AS duration_fit_score,
   (event_id % 4) / 4.0::DOUBLE AS ocr_frame_coverage, ['bajo', 'medio', 'alto', 'revisión humana', 'otro'][CAST((event_id // 7) % 5 AS INTEGER) + 1] AS policy_level,
-  CASE WHEN round((event_id % 97) / 96.0::DOUBLE, 4) >= 0.85 THEN 'muy_alto' WHEN round((event_id % 97) / 96.0::DOUBLE, 4) >= 0.65 THEN 'alto'
-       WHEN round((event_id % 97) / 96.0::DOUBLE, 4) >= 0.4 THEN 'medio' ELSE 'bajo' END AS level,
+  CASE WHEN (event_id % 97) / 96.0::DOUBLE >= 0.85 THEN 'muy_alto' WHEN (event_id % 97) / 96.0::DOUBLE >= 0.65 THEN 'alto'
+       WHEN (event_id % 97) / 96.0::DOUBLE >= 0.4 THEN 'medio' ELSE 'bajo' END AS level,
   ['retail', 'auto', 'salud', 'zzz'][CAST(event_id % 4 AS INTEGER) + 1] AS ad_category, round(2 + (event_id % 37) / 3.0::DOUBLE, 4) AS cpm FROM events)"""
 
 
@@ -40,7 +40,7 @@ def cases(spark, sf):
     def flag(m, r):
         return (i % m == r).cast("int")
 
-    p = F.round((i % 97) / F.lit(96.0), 4)
+    p = (i % 97) / F.lit(96.0)
     cols = {
         "video_id": i.cast("string"),
         "title": F.concat("event_type", F.lit(" "), i.cast("string")),
@@ -54,16 +54,16 @@ def cases(spark, sf):
         "views": F.floor(v * 13).cast("double"),
         "likes": F.floor(v * 2).cast("double"),
         "comments": F.floor(v).cast("double"),
-        "retention_rate": (F.col("user_id") % 101) / 100.0,
+        "retention_rate": (F.col("user_id") % 101) / 101.0,
         "views_per_hour": F.round(v * 17, 4),
         "views_per_day": F.round(v * 9, 4),
         "duration_seconds": (i % 90).cast("double"),
-        "budget": (i % 130).cast("double"),
+        "budget": (i % 130) / 0.9,
         "hours_since_publication": (i % 29 + 1).cast("double"),
         "cta_flag": flag(2, 1), "benefit_flag": flag(3, 0), "promo_flag": flag(4, 1), "trust_flag": flag(6, 1),
         "price_flag": flag(7, 0), "ocr_cta_flag": flag(11, 0), "ocr_promo_flag": F.lit(0), "ocr_trust_flag": F.lit(0),
         "ocr_word_count": (i % 60).cast("int"),
-        "text_power_score": (i % 10) / 10.0,
+        "text_power_score": (i % 10) / 9.0,
         "duration_fit_score": (i % 11) * F.lit(0.1),
         "ocr_frame_coverage": (i % 4) / 4.0,
         "policy_level": F.get(F.array(*[F.lit(x) for x in ("bajo", "medio", "alto", "revisión humana", "otro")]), (F.floor(i / 7) % 5).cast("int")),
@@ -407,7 +407,7 @@ def paid_funnel(spark, sf):
     )
 
 
-BLEND_SQL = f"""blend0 AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 120 END::DOUBLE AS ms, CASE WHEN event_id % 3 = 1 THEN event_id % 30 END::DOUBLE AS mc FROM funnel),
+BLEND_SQL = f"""blend0 AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 120 END::DOUBLE AS ms, CASE WHEN event_id % 3 = 1 THEN (event_id % 30) / 0.7::DOUBLE END AS mc FROM funnel),
 blend AS MATERIALIZED (SELECT *, CASE WHEN mc IS NOT NULL THEN {s.clip("greatest(0.0, least(100.0, ms)) * 0.55::DOUBLE + rscore * 0.45::DOUBLE", 0, 100)}
   WHEN ms IS NOT NULL THEN {s.clip("greatest(0.0, least(100.0, ms)) * 0.6::DOUBLE + rscore * 0.4::DOUBLE", 0, 100)} ELSE rscore END AS score,
   CASE WHEN mc IS NOT NULL THEN {s.clip("greatest(1.0, least(25.0, mc)) * 0.35::DOUBLE + rc * 0.65::DOUBLE", 2.2, 18)} ELSE rc END AS bc FROM blend0)"""
@@ -416,7 +416,7 @@ blend AS MATERIALIZED (SELECT *, CASE WHEN mc IS NOT NULL THEN {s.clip("greatest
 def blended(spark, sf):
     i = F.col("event_id")
     chain = P.paid_funnel(P.dynamic_cpm(P.niche_cpm(niched(spark, sf)))).withColumns(
-        {"ms": F.when(i % 3 != 0, (i % 120).cast("double")), "mc": F.when(i % 3 == 1, (i % 30).cast("double"))}
+        {"ms": F.when(i % 3 != 0, (i % 120).cast("double")), "mc": F.when(i % 3 == 1, (i % 30) / 0.7)}
     )
     return P.paid_blend(chain, model_score="ms", model_cpm="mc")
 

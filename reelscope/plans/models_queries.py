@@ -1 +1,246 @@
-"""Queries."""
+"""Queries that fit models: iterative results, checked by rows and by bounds in the tests."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from reelscope import fixed_values as fv
+from reelscope.operators import evaluation as E
+from reelscope.operators import learning as M
+from reelscope.operators import sampling as S
+from reelscope.operators.normalize import ensure_columns, project_features
+from reelscope.plans import views as V
+from reelscope.plans.registry import query, r6
+from reelscope.plans.tables_queries import corpus_table
+from reelscope.session import materialize, work_dir
+from reelscope.sources import sinks
+
+
+def training(spark, sf):
+    """Feature table of the labelled videos; the target is the given quality label."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").cast("string").alias("video_id"), "quality")
+    rows = ensure_columns(corpus_table(spark, sf)).join(labels, "video_id")
+    keep = project_features(rows.withColumnRenamed("quality", fv.TARGET), keep=("video_id", fv.TARGET))
+    return materialize(keep)
+
+
+def split(df):
+    marked = materialize(S.stratified_split(df, "video_id", fv.TARGET, 0.20))
+    return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
+
+
+def vectors(spark, sf):
+    train, test = split(training(spark, sf))
+    return M.prepare_vectors(train, test, key="video_id", target=fv.TARGET)
+
+
+def norm(v):
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+
+
+@query("tfidf")
+def tfidf(spark, sf):
+    d = training(spark, sf)
+    out = M.tfidf(d).transform(d)
+    return out.select("video_id", F.round(norm(vector_to_array("text_vector")), 6).alias("norm"))
+
+
+@query("tfidf_sublinear")
+def tfidf_sublinear(spark, sf):
+    d = training(spark, sf)
+    out = M.tfidf(d, vocabulary=6000, min_df=3, max_df=0.95, sublinear=True, accents=True).transform(d)
+    return out.select("video_id", F.round(norm(vector_to_array("text_vector")), 6).alias("norm"))
+
+
+@query("numeric_preprocessing")
+def numeric(spark, sf):
+    d = training(spark, sf)
+    v = vector_to_array("numeric_vector")
+    return M.numeric_preprocessing(d).transform(d).select("video_id", F.size(v).alias("n"), r6(v[0], "first"))
+
+
+@query("categorical_preprocessing")
+def categorical(spark, sf):
+    d = training(spark, sf)
+    v = vector_to_array("category_vector")
+    return M.categorical_preprocessing(d).transform(d).select("video_id", "category_id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("ones"))
+
+
+@query(
+    "rare_to_infrequent",
+    """SELECT source AS v, count(*) AS n FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY source) < 50 THEN 'infrequent' ELSE source END AS source FROM documents) GROUP BY 1""",
+)
+def rare(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("source")
+    return M.rare_to_infrequent(d, d, "source", 50).groupBy(F.col("source").alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("assemble")
+def assemble(spark, sf):
+    d = training(spark, sf)
+    out = M.assemble(d).transform(d)
+    return out.select("video_id", F.size(vector_to_array("features")).alias("width"))
+
+
+def one_model(spark, sf, fit, name):
+    _, train, test = vectors(spark, sf)
+    scored = M.predictions(fit(train), test, name, key="video_id")
+    return E.model_metrics(scored)
+
+
+@query("logistic_regression")
+def logistic(spark, sf):
+    return one_model(spark, sf, M.logistic_regression, "logistic_regression")
+
+
+@query("linear_svc_calibrated")
+def svc(spark, sf):
+    return one_model(spark, sf, lambda d: M.linear_svc_calibrated(d, key="video_id", max_iter=30), "linear_svc")
+
+
+@query("random_forest")
+def forest(spark, sf):
+    return one_model(spark, sf, lambda d: M.random_forest(d, trees=20, depth=6), "random_forest")
+
+
+@query("gbt_classifier")
+def gbt(spark, sf):
+    return one_model(spark, sf, lambda d: M.gbt_classifier(d, key="video_id", iterations=5, depth=4), "gbt")
+
+
+@query("train_all")
+def train_all(spark, sf):
+    builders = M.model_builders("video_id", light=True)
+    _, comparison, *_ = M.train_all(training(spark, sf), builders=builders)
+    return comparison
+
+
+@query("save_and_load_model")
+def save_and_load(spark, sf):
+    d = training(spark, sf)
+    model = M.categorical_preprocessing(d)
+    path = f"{work_dir(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(model, path, d.agg(F.count("*").alias("rows")))
+    back = sinks.load_model(spark, path)
+    return back.transform(d).groupBy("category_id").agg(F.count("*").alias("n"))
+
+
+@query("cross_val_f1")
+def cross_val(spark, sf):
+    _, train, _ = vectors(spark, sf)
+    return M.cross_val_f1(train, {"logistic_regression": lambda d: M.logistic_regression(d, max_iter=20)}, key="video_id", folds=3)
+
+
+@query("benchmark_table")
+def benchmark(spark, sf):
+    train, test = split(training(spark, sf))
+    _, tv, hv = M.prepare_vectors(train, test, key="video_id", target=fv.TARGET)
+    best = M.predictions(M.logistic_regression(tv), hv, "logistic_regression", key="video_id")
+    return M.benchmark_table(train, test, best, key="video_id", target=fv.TARGET)
+
+
+@query("learning_curve")
+def learning_curve(spark, sf):
+    return M.learning_curve(training(spark, sf), (100, 200), key="video_id", target=fv.TARGET, max_iter=20, caps={0: 3500, 1: 1500})
+
+
+@query("paid_regressor")
+def paid(spark, sf):
+    rows = V.campaigns(spark, sf)
+    marked = materialize(S.shuffle_split(rows, "row_id", 0.20).withColumnRenamed("is_val", "is_test"))
+    _, _, scored = M.paid_regressor(marked.where(~F.col("is_test")), marked.where("is_test"), trees=5)
+    return E.regression_metrics(scored, {t: f"pred_{t}" for t in fv.PAID_TARGETS})
+
+
+@query("metric_regressors")
+def metric_models(spark, sf):
+    keep = ("views_per_day", "engagement_rate", "like_rate", "comment_rate")
+    d = ensure_columns(corpus_table(spark, sf)).select("video_id", fv.TEXT_FEATURE, *fv.NUMERIC_FEATURES, *fv.CATEGORICAL_FEATURES, *keep)
+    d = materialize(d)
+    features, models = M.metric_regressors(d, trees=2, depth=3)
+    out = M.apply_metric_regressors(d, features, models)
+    return out.select("video_id", *[f"pred_{k}" for k in keep])
+
+
+def embedded(spark, sf):
+    return M.to_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).select("vec_id", "label", "features")
+
+
+@query("pca")
+def pca(spark, sf):
+    out, _ = M.pca(embedded(spark, sf), 10)
+    return out.select("vec_id", F.size(vector_to_array("reduced")).alias("n"))
+
+
+@query("kmeans")
+def kmeans(spark, sf):
+    reduced, _ = M.pca(embedded(spark, sf), 10)
+    out, _ = M.kmeans(materialize(reduced.select("vec_id", "label", "reduced")), 6)
+    return out.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("label").alias("mean_label"))
+
+
+@query("elbow")
+def elbow(spark, sf):
+    reduced, _ = M.pca(embedded(spark, sf), 10)
+    return M.elbow(materialize(reduced.select("reduced")), range(3, 12))
+
+
+@query("embedding_classifier")
+def embedding_classifier(spark, sf):
+    d = embedded(spark, sf).withColumn("label", (F.col("label") >= 5).cast("double"))
+    d = materialize(S.stratified_split(E.balanced_weights(d, "label"), "vec_id", "label", 0.20))
+    model = M.embedding_classifier(d.where(~F.col("is_test")))
+    return E.model_metrics(M.predictions(model, d.where("is_test"), "dense", key="vec_id"))
+
+
+@query("linear_attribution")
+def attribution(spark, sf):
+    _, train, test = vectors(spark, sf)
+    model = M.logistic_regression(train)
+    sample = S.bootstrap_subset(test, "video_id", 300)
+    return M.linear_attribution(sample, model.coefficients.toArray(), background=train)
+
+
+def dense_model(spark, sf):
+    """Logistic regression on the numeric columns only, and its scorer for perturbed tables."""
+    d = training(spark, sf).select("video_id", fv.TARGET, *[F.col(c).cast("double").alias(c) for c in fv.NUMERIC_FEATURES])
+    stages = M.numeric_preprocessing(d)
+
+    def prepared(t):
+        return stages.transform(t).withColumnRenamed("numeric_vector", "features").withColumn("label", F.col(fv.TARGET).cast("double"))
+
+    model = M.logistic_regression(E.balanced_weights(prepared(d), "label"))
+
+    def score(t):
+        return M.predictions(model, prepared(t), "m", key="video_id").select("y", "pred")
+
+    return d, score
+
+
+@query("permutation_importance")
+def permutation(spark, sf):
+    d, score = dense_model(spark, sf)
+    return M.permutation_importance(d, score, ("title_len", "text_total_word_count"), key="video_id", repeats=2)
+
+
+@query("noise_robustness")
+def noise(spark, sf):
+    d, score = dense_model(spark, sf)
+    return M.noise_robustness(d, score, fv.NUMERIC_FEATURES)
+
+
+@query("score_videos_with_model")
+def score_with_model(spark, sf):
+    """Model probability for every video, from a fitted text, numeric and category model."""
+    from pyspark.ml import PipelineModel
+
+    from reelscope.operators.decision import score_videos
+
+    rows = corpus_table(spark, sf)
+    features, train, _ = vectors(spark, sf)
+    model = PipelineModel([*features.stages, M.logistic_regression(train)])
+    out = score_videos(rows, model)
+    return out.groupBy("level", "model_available").agg(F.count("*").alias("n"), F.min("probability").alias("low"), F.max("probability").alias("high"))

@@ -21,15 +21,15 @@ from reelscope.session import table
 # Every event is a decision case: the columns are spread over all branches.
 CASES_SQL = """cases AS MATERIALIZED (SELECT event_id, CAST(event_id AS VARCHAR) AS video_id, event_type || ' ' || event_id AS title, props AS description,
   CASE WHEN event_id % 3 = 0 THEN '' ELSE props || ' ' || event_type END AS transcript_text, CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END AS ocr_text,
-  (event_id % 97) / 96.0::DOUBLE AS probability, round(value / 170.0::DOUBLE, 6) AS engagement_rate, round(value / 190.0::DOUBLE, 6) AS like_rate,
-  round(value / 990.0::DOUBLE, 6) AS comment_rate, floor(value * 13)::DOUBLE AS views, floor(value * 2)::DOUBLE AS likes, floor(value)::DOUBLE AS comments,
-  (user_id % 101) / 101.0::DOUBLE AS retention_rate, round(value * 17, 4) AS views_per_hour, round(value * 9, 4) AS views_per_day, (event_id % 90)::DOUBLE AS duration_seconds,
-  (event_id % 130) / 0.9::DOUBLE AS budget, (1 + event_id % 29)::DOUBLE AS hours_since_publication, CAST(event_id % 2 AS INTEGER) AS cta_flag, CAST(event_id % 3 = 0 AS INTEGER) AS benefit_flag,
+  (event_id % 97) / 96.7::DOUBLE AS probability, value / 170.0::DOUBLE AS engagement_rate, value / 190.0::DOUBLE AS like_rate,
+  value / 990.0::DOUBLE AS comment_rate, floor(value * 13)::DOUBLE AS views, floor(value * 2)::DOUBLE AS likes, floor(value)::DOUBLE AS comments,
+  (user_id % 101) / 101.0::DOUBLE AS retention_rate, round(value * 17, 4) AS views_per_hour, value * 9 / 0.7::DOUBLE AS views_per_day, (event_id % 90)::DOUBLE AS duration_seconds,
+  ln(1 + event_id % 130) * 27 AS budget, (1 + event_id % 29)::DOUBLE AS hours_since_publication, CAST(event_id % 2 AS INTEGER) AS cta_flag, CAST(event_id % 3 = 0 AS INTEGER) AS benefit_flag,
   CAST(event_id % 4 = 1 AS INTEGER) AS promo_flag, CAST(event_id % 6 = 1 AS INTEGER) AS trust_flag, CAST(event_id % 7 = 0 AS INTEGER) AS price_flag, CAST(event_id % 11 = 0 AS INTEGER) AS ocr_cta_flag,
   0 AS ocr_promo_flag, 0 AS ocr_trust_flag, CAST(event_id % 60 AS INTEGER) AS ocr_word_count, (event_id % 10) / 9.0::DOUBLE AS text_power_score, 0.1::DOUBLE * (event_id % 11) AS duration_fit_score,
   (event_id % 4) / 4.0::DOUBLE AS ocr_frame_coverage, ['bajo', 'medio', 'alto', 'revisión humana', 'otro'][CAST((event_id // 7) % 5 AS INTEGER) + 1] AS policy_level,
-  CASE WHEN (event_id % 97) / 96.0::DOUBLE >= 0.85 THEN 'muy_alto' WHEN (event_id % 97) / 96.0::DOUBLE >= 0.65 THEN 'alto'
-       WHEN (event_id % 97) / 96.0::DOUBLE >= 0.4 THEN 'medio' ELSE 'bajo' END AS level,
+  CASE WHEN (event_id % 97) / 96.7::DOUBLE >= 0.85 THEN 'muy_alto' WHEN (event_id % 97) / 96.7::DOUBLE >= 0.65 THEN 'alto'
+       WHEN (event_id % 97) / 96.7::DOUBLE >= 0.4 THEN 'medio' ELSE 'bajo' END AS level,
   ['retail', 'auto', 'salud', 'zzz'][CAST(event_id % 4 AS INTEGER) + 1] AS ad_category, round(2 + (event_id % 37) / 3.0::DOUBLE, 4) AS cpm FROM events)"""
 
 
@@ -40,7 +40,7 @@ def cases(spark, sf):
     def flag(m, r):
         return (i % m == r).cast("int")
 
-    p = (i % 97) / F.lit(96.0)
+    p = (i % 97) / F.lit(96.7)
     cols = {
         "video_id": i.cast("string"),
         "title": F.concat("event_type", F.lit(" "), i.cast("string")),
@@ -48,17 +48,17 @@ def cases(spark, sf):
         "transcript_text": F.when(i % 3 == 0, F.lit("")).otherwise(F.concat("props", F.lit(" "), "event_type")),
         "ocr_text": F.when(i % 5 == 0, F.col("event_type")).otherwise(F.lit("")),
         "probability": p,
-        "engagement_rate": F.round(v / 170.0, 6),
-        "like_rate": F.round(v / 190.0, 6),
-        "comment_rate": F.round(v / 990.0, 6),
+        "engagement_rate": v / 170.0,
+        "like_rate": v / 190.0,
+        "comment_rate": v / 990.0,
         "views": F.floor(v * 13).cast("double"),
         "likes": F.floor(v * 2).cast("double"),
         "comments": F.floor(v).cast("double"),
         "retention_rate": (F.col("user_id") % 101) / 101.0,
         "views_per_hour": F.round(v * 17, 4),
-        "views_per_day": F.round(v * 9, 4),
+        "views_per_day": v * 9 / 0.7,
         "duration_seconds": (i % 90).cast("double"),
-        "budget": (i % 130) / 0.9,
+        "budget": F.log1p(i % 130) * 27,
         "hours_since_publication": (i % 29 + 1).cast("double"),
         "cta_flag": flag(2, 1), "benefit_flag": flag(3, 0), "promo_flag": flag(4, 1), "trust_flag": flag(6, 1),
         "price_flag": flag(7, 0), "ocr_cta_flag": flag(11, 0), "ocr_promo_flag": F.lit(0), "ocr_trust_flag": F.lit(0),
@@ -483,7 +483,7 @@ def signals(spark, sf):
 
 @query(
     "metrics_block",
-    with_cases("SELECT event_id, CAST(views AS BIGINT) AS views, engagement_rate, round(duration_seconds, 2) AS duration_seconds, round(text_power_score, 4) AS text_power_score, 'no_disponible' AS density FROM cases"),
+    with_cases("SELECT event_id, CAST(views AS BIGINT) AS views, round(engagement_rate, 6) AS engagement_rate, round(duration_seconds, 2) AS duration_seconds, round(text_power_score, 4) AS text_power_score, 'no_disponible' AS density FROM cases"),
 )
 def metrics_block(spark, sf):
     c = cases(spark, sf).withColumns(

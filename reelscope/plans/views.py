@@ -101,7 +101,7 @@ SCORED_SQL = """
 scored AS (
   SELECT l.doc_id AS id, l.quality AS y, l.toxic, d.lang, d.source,
          CAST(d.n_chars % 200 AS DOUBLE) AS duration_seconds, d.n_chars,
-         round(least(d.n_chars / 4000.0::DOUBLE, 1.0::DOUBLE), 3) AS proba,
+         least(d.n_chars / 4100.0::DOUBLE, 1.0::DOUBLE) AS proba,
          CAST(d.n_chars >= 1200 AS INTEGER) AS pred
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
@@ -111,7 +111,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").join(table(spark, sf, "documents").drop("text"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("y"), "toxic", "lang", "source",
         (n % 200).cast("double").alias("duration_seconds"), "n_chars",
-        F.round(F.least(n / F.lit(4000.0), F.lit(1.0)), 3).alias("proba"),
+        F.least(n / F.lit(4100.0), F.lit(1.0)).alias("proba"),
         (n >= 1200).cast("int").alias("pred"),
     )
 

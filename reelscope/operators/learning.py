@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
@@ -26,8 +27,10 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,21 @@ from reelscope.operators.terms_text import strip_accents
 from reelscope.session import materialize
 
 
+class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term counts c > 0 become 1 + ln(c)."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        logs = F.transform(
+            vector_to_array(self.getInputCol()), lambda c: F.when(c > 0, F.log(c) + 1.0).otherwise(F.lit(0.0))
+        )
+        return df.withColumn(self.getOutputCol(), array_to_vector(logs))
+
+
 def fit_stages(df: DataFrame, stages) -> PipelineModel:
     """Fit estimators in order, each on the output of the stages before it."""
     fitted, current = [], df
@@ -70,28 +88,19 @@ def tfidf(
     stages = [*steps, counts]
     scaled_input = "tf_counts"
     if sublinear:
-        stages.append(SQLTransformer(
-            statement="SELECT *, array_to_vector(transform(vector_to_array(tf_counts), "
-            "c -> CASE WHEN c > 0 THEN 1D + ln(c) ELSE 0D END)) AS tf_log FROM __THIS__"
-        ))
+        stages.append(LogCounts(inputCol="tf_counts", outputCol="tf_log"))
         scaled_input = "tf_log"
     stages += [
         ElementwiseProduct(inputCol=scaled_input, outputCol="tf_weighted", scalingVec=weights),
         Normalizer(inputCol="tf_weighted", outputCol=output, p=2.0),
-        SQLTransformer(statement=_without("tf_")),
+        SQLTransformer(
+            statement="SELECT * EXCEPT (tf_text, tf_words, tf_pairs, tf_terms, tf_counts, "
+            + ("tf_log, " if sublinear else "") + "tf_weighted) FROM __THIS__"
+        ),
     ]
     return PipelineModel(stages)
 
 
-def _without(prefix: str) -> str:
-    names = {
-        "tf_": "tf_text, tf_words, tf_pairs, tf_terms, tf_counts, tf_weighted",
-        "nu_": "nu_raw",
-        "ca_": "ca_index",
-    }[prefix]
-    return f"SELECT * EXCEPT ({names}) FROM __THIS__"
-
-
 def numeric_preprocessing(df: DataFrame, columns=fv.NUMERIC_FEATURES, output: str = "numeric_vector", *, robust: bool = False) -> PipelineModel:
     """Median imputation, then scaling without centring (or robust centring and scaling)."""
     columns = list(columns)

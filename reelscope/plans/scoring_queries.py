@@ -26,8 +26,8 @@ CASES_SQL = """cases AS MATERIALIZED (SELECT event_id, CAST(event_id AS VARCHAR)
   (user_id % 101) / 101.0::DOUBLE AS retention_rate, round(value * 17, 4) AS views_per_hour, value * 9 / 0.7::DOUBLE AS views_per_day, (event_id % 90)::DOUBLE AS duration_seconds,
   ln(1 + event_id % 130) * 27 AS budget, (1 + event_id % 29)::DOUBLE AS hours_since_publication, CAST(event_id % 2 AS INTEGER) AS cta_flag, CAST(event_id % 3 = 0 AS INTEGER) AS benefit_flag,
   CAST(event_id % 4 = 1 AS INTEGER) AS promo_flag, CAST(event_id % 6 = 1 AS INTEGER) AS trust_flag, CAST(event_id % 7 = 0 AS INTEGER) AS price_flag, CAST(event_id % 11 = 0 AS INTEGER) AS ocr_cta_flag,
-  0 AS ocr_promo_flag, 0 AS ocr_trust_flag, CAST(event_id % 60 AS INTEGER) AS ocr_word_count, (event_id % 10) / 9.0::DOUBLE AS text_power_score, 0.1::DOUBLE * (event_id % 11) AS duration_fit_score,
-  (event_id % 4) / 4.0::DOUBLE AS ocr_frame_coverage, ['bajo', 'medio', 'alto', 'revisión humana', 'otro'][CAST((event_id // 7) % 5 AS INTEGER) + 1] AS policy_level,
+  0 AS ocr_promo_flag, 0 AS ocr_trust_flag, CAST(event_id % 60 AS INTEGER) AS ocr_word_count, (event_id % 10) / 9.1::DOUBLE AS text_power_score, (event_id % 11) / 10.7::DOUBLE AS duration_fit_score,
+  (event_id % 4) / 4.3::DOUBLE AS ocr_frame_coverage, ['bajo', 'medio', 'alto', 'revisión humana', 'otro'][CAST((event_id // 7) % 5 AS INTEGER) + 1] AS policy_level,
   CASE WHEN (event_id % 97) / 96.7::DOUBLE >= 0.85 THEN 'muy_alto' WHEN (event_id % 97) / 96.7::DOUBLE >= 0.65 THEN 'alto'
        WHEN (event_id % 97) / 96.7::DOUBLE >= 0.4 THEN 'medio' ELSE 'bajo' END AS level,
   ['retail', 'auto', 'salud', 'zzz'][CAST(event_id % 4 AS INTEGER) + 1] AS ad_category, round(2 + (event_id % 37) / 3.0::DOUBLE, 4) AS cpm FROM events)"""
@@ -63,9 +63,9 @@ def cases(spark, sf):
         "cta_flag": flag(2, 1), "benefit_flag": flag(3, 0), "promo_flag": flag(4, 1), "trust_flag": flag(6, 1),
         "price_flag": flag(7, 0), "ocr_cta_flag": flag(11, 0), "ocr_promo_flag": F.lit(0), "ocr_trust_flag": F.lit(0),
         "ocr_word_count": (i % 60).cast("int"),
-        "text_power_score": (i % 10) / 9.0,
-        "duration_fit_score": (i % 11) * F.lit(0.1),
-        "ocr_frame_coverage": (i % 4) / 4.0,
+        "text_power_score": (i % 10) / 9.1,
+        "duration_fit_score": (i % 11) / 10.7,
+        "ocr_frame_coverage": (i % 4) / 4.3,
         "policy_level": F.get(F.array(*[F.lit(x) for x in ("bajo", "medio", "alto", "revisión humana", "otro")]), (F.floor(i / 7) % 5).cast("int")),
         "level": D.probability_level(p),
         "ad_category": F.get(F.array(*[F.lit(x) for x in ("retail", "auto", "salud", "zzz")]), (i % 4).cast("int")),
@@ -407,7 +407,7 @@ def paid_funnel(spark, sf):
     )
 
 
-BLEND_SQL = f"""blend0 AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 120 END::DOUBLE AS ms, CASE WHEN event_id % 3 = 1 THEN (event_id % 30) / 0.7::DOUBLE END AS mc FROM funnel),
+BLEND_SQL = f"""blend0 AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 120 END::DOUBLE AS ms, CASE WHEN event_id % 3 = 1 THEN 1.1::DOUBLE + (event_id % 30) / 1.3::DOUBLE END AS mc FROM funnel),
 blend AS MATERIALIZED (SELECT *, CASE WHEN mc IS NOT NULL THEN {s.clip("greatest(0.0, least(100.0, ms)) * 0.55::DOUBLE + rscore * 0.45::DOUBLE", 0, 100)}
   WHEN ms IS NOT NULL THEN {s.clip("greatest(0.0, least(100.0, ms)) * 0.6::DOUBLE + rscore * 0.4::DOUBLE", 0, 100)} ELSE rscore END AS score,
   CASE WHEN mc IS NOT NULL THEN {s.clip("greatest(1.0, least(25.0, mc)) * 0.35::DOUBLE + rc * 0.65::DOUBLE", 2.2, 18)} ELSE rc END AS bc FROM blend0)"""
@@ -416,7 +416,7 @@ blend AS MATERIALIZED (SELECT *, CASE WHEN mc IS NOT NULL THEN {s.clip("greatest
 def blended(spark, sf):
     i = F.col("event_id")
     chain = P.paid_funnel(P.dynamic_cpm(P.niche_cpm(niched(spark, sf)))).withColumns(
-        {"ms": F.when(i % 3 != 0, (i % 120).cast("double")), "mc": F.when(i % 3 == 1, (i % 30) / 0.7)}
+        {"ms": F.when(i % 3 != 0, (i % 120).cast("double")), "mc": F.when(i % 3 == 1, (i % 30) / 1.3 + 1.1)}
     )
     return P.paid_blend(chain, model_score="ms", model_cpm="mc")
 

@@ -113,7 +113,7 @@ def ocr_relevance(df: DataFrame, *, override_intent=None, override_role=None, co
     intent = content_intent("_i")
     if override_intent is not None:
         intent = F.coalesce(F.nullif(N.col(override_intent), F.lit("")), intent)
-    s = F.col("_s")
+    s = "_s"
     flags = [_SCREEN_INDEX.any(s, k) for k in ("cta", "benefit", "urgency", "trust", "promo", "price", "commercial")]
     base = base.withColumns(
         {

@@ -295,7 +295,7 @@ def executive(spark, sf):
 
 @query(
     "chart_data",
-    with_cases(f"""SELECT event_id, {s.r6('probability * 100')} AS potencial, {s.r6('retention_rate * 100')} AS retencion, {s.r6('least(engagement_rate * 1000, 100)')} AS engagement,
+    with_cases(f"""SELECT event_id, {s.r6('round(probability, 4) * 100')} AS potencial, {s.r6('retention_rate * 100')} AS retencion, {s.r6('least(engagement_rate * 1000, 100)')} AS engagement,
       (event_id % 100)::DOUBLE AS guion, {s.case('policy_level', fv.RISK_BAR, '50::DOUBLE')} AS riesgo,
       CASE WHEN pv = 0 AND pl = 0 AND pc = 0 THEN CAST(floor(views * {MULT_SQL} * 1.5::DOUBLE) AS BIGINT) ELSE pv END AS views_expected
       FROM (SELECT *, {whole_sql(PROJ_SQL)} AS pv, {whole_sql(f'({PROJ_SQL}) * greatest({LR_SQL}, {ER_SQL} * 0.65::DOUBLE)')} AS pl,

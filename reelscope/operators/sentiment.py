@@ -24,7 +24,7 @@ def _whole(words) -> str:
 
 
 def cap_comments(df: DataFrame, n: int = 100, video="video_id", order="position") -> DataFrame:
-    """First n non-blank comments per video in arrival order; kept when the limit applies to no video."""
+    """First n non-blank comments per video in arrival order."""
     kept = df.where(T.strip("text") != "")
     return top_per_group(kept, [video], [F.col(order).asc()], n).drop("rank")
 

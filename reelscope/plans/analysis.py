@@ -59,11 +59,12 @@ def video_with_signals(
 
 def analyze_batch(
     videos: DataFrame, as_of, *, model=None, predicted: dict | None = None, model_score: str | None = None,
-    model_cpm: str | None = None, **sides: DataFrame,
+    model_cpm: str | None = None, reports: bool = True, **sides: DataFrame,
 ) -> DataFrame:
     """Features, probability, script, policy, operations, paid estimate, recommendation, projection and summaries.
 
     After the side joins everything is projection: no further shuffle.
+    ``reports=False`` stops at the decision and leaves the explanatory blocks out of the plan.
     """
     base = video_with_signals(videos, **sides)
     have = set(base.columns)
@@ -109,7 +110,10 @@ def analyze_batch(
         F.col("recommendation.accion_final"), F.col("policy.policy_risk_level"), F.col("paid.eligible_for_paid"),
         F.col("recommendation.score_hibrido"),
     )
-    told = D.message_rules(unified.withColumn("decision", code))
+    decided = unified.withColumn("decision", code)
+    if not reports:
+        return decided
+    told = D.message_rules(decided)
     told = D.chart_data(D.executive_summary(D.local_explanation(told)))
     told = D.rule_recommendation(D.diagnostic_struct(told))
     return B.ocr_block(B.transcript_block(B.metrics_block(told)))

@@ -447,7 +447,7 @@ def paid_advice(spark, sf):
 
 
 def analysed(spark, sf):
-    return analyze_batch(V.videos(spark, sf).withColumn("retention_input", F.lit(0.35)), V.AS_OF, comments=V.comments(spark, sf))
+    return analyze_batch(V.videos(spark, sf).withColumn("retention_input", F.lit(0.35)), V.AS_OF, comments=V.comments(spark, sf), reports=False)
 
 
 @query("analyze_batch")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm import decontaminate as de
-from reelscope.llm import language_id, license_scan, mixing, preferences, sharding, simhash
+from reelscope.llm import language_id, license_scan, mixing, preferences, sharding, simhash, substrings, topk
 from reelscope.llm.common import utf8
 from reelscope.session import table
 
@@ -56,6 +56,16 @@ def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.nearest_by_product(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op9_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs, ~language_id.held_out() & F.col("doc_id").isNotNull())
@@ -64,7 +74,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_preference_format, op4_sampled_splitters, op5_license_scan, op6_simhash_trie, op7_suffix_automaton, op10_language_mixture)
+    for f in (op1_mix_sources, op2_preference_format, op4_sampled_splitters, op5_license_scan, op6_simhash_trie, op7_suffix_automaton, op8_cover_tree_topk, op9_de_bruijn_spans, op10_language_mixture)
 }
 
 OP1_SQL = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm import decontaminate as de
-from reelscope.llm import language_id, license_scan, mixing, preferences, sharding, simhash, substrings, topk
+from reelscope.llm import language_id, license_scan, lm_score, mixing, preferences, sharding, simhash, substrings, topk
 from reelscope.llm.common import utf8
 from reelscope.session import table
 
@@ -28,6 +28,10 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = utf8("text")
     docs = table(spark, sf_dir, "documents").select(
@@ -74,7 +78,10 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_preference_format, op4_sampled_splitters, op5_license_scan, op6_simhash_trie, op7_suffix_automaton, op8_cover_tree_topk, op9_de_bruijn_spans, op10_language_mixture)
+    for f in (
+        op1_mix_sources, op2_preference_format, op3_masked_likelihood, op4_sampled_splitters, op5_license_scan, op6_simhash_trie,
+        op7_suffix_automaton, op8_cover_tree_topk, op9_de_bruijn_spans, op10_language_mixture,
+    )
 }
 
 OP1_SQL = r"""

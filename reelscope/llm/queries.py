@@ -16,14 +16,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations as pairs: of 2k and 2k + 1 the even one is chosen. A conversation without a neighbour stays."""
-    turns = preferences.conversations_of(table(spark, sf_dir, "conversations"))
-    turns = turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("even"), "turns")
-    pairs = turns.groupBy("pair_id").agg(F.max(F.when(F.col("even"), F.col("turns"))).alias("chosen"), F.max(F.when(~F.col("even"), F.col("turns"))).alias("rejected"))
+    """Every conversation as chosen, against the same one with the last answer of its neighbour (2k and 2k + 1 are neighbours).
+
+    Without an answer of its own or of its neighbour there is no rejected conversation.
+    """
+    convs = preferences.conversations_of(table(spark, sf_dir, "conversations"))
+    answers = F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"].eqNullSafe(F.lit("assistant"))), True)
+    convs = convs.withColumn("last", F.when(answers > 0, F.size("turns") - answers.cast("int") + 1))
+    answer = convs.where("last is not null").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.slice("turns", F.col("last"), F.lit(1)).alias("answer"))
+    other = F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.col("answer"))
+    pairs = convs.join(answer, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), other.alias("rejected"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["a"], s["b"])), ",")
-    out = preferences.format_preferences(pairs)
-    return out.select(
-        "pair_id", F.col("n_common").cast("long"), "prompt", "chosen", "rejected",
+    return preferences.format_preferences(pairs).select(
+        "conv_id", F.col("n_common").cast("long"), "prompt", "chosen", "rejected",
         text("chosen_spans").alias("chosen_mask"), text("rejected_spans").alias("rejected_mask"), "usable",
     )
 
@@ -111,31 +116,39 @@ FROM p
 """
 
 OP2_SQL = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS even, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, role, text
+WITH c AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, role, text
   FROM conversations WHERE conv_id IS NOT NULL
+), last AS (
+  SELECT conv_id, max(n) AS n FROM c WHERE role = 'assistant' GROUP BY conv_id
+), answer AS (
+  SELECT xor(c.conv_id, 1) AS conv_id, role, text FROM c JOIN last USING (conv_id, n)
+), t AS (
+  SELECT TRUE AS good, * FROM c
+  UNION ALL SELECT FALSE, conv_id, c.n, c.role, c.text FROM c JOIN last USING (conv_id) JOIN answer USING (conv_id) WHERE c.n < last.n
+  UNION ALL SELECT FALSE, conv_id, last.n, role, text FROM last JOIN answer USING (conv_id)
 ), m AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
-    c.n IS NOT NULL AND r.n IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
-  FROM (SELECT * FROM t WHERE even) c FULL JOIN (SELECT * FROM t WHERE NOT even) r ON c.pair_id = r.pair_id AND c.n = r.n
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, b.n) AS n,
+    a.n IS NOT NULL AND b.n IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+  FROM (SELECT * FROM t WHERE good) a FULL JOIN (SELECT * FROM t WHERE NOT good) b ON a.conv_id = b.conv_id AND a.n = b.n
 ), k AS (
-  SELECT pair_id, coalesce(min(n) FILTER (WHERE NOT same) - 1, max(n)) AS n_common FROM m GROUP BY pair_id
+  SELECT conv_id, coalesce(min(n) FILTER (WHERE NOT same) - 1, max(n)) AS n_common FROM m GROUP BY conv_id
 ), x AS (
   SELECT t.*, n_common, '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
-  FROM t JOIN k USING (pair_id)
+  FROM t JOIN k USING (conv_id)
 ), y AS (
-  SELECT *, sum(CASE WHEN n > n_common THEN length(head || body) ELSE 0 END) OVER (PARTITION BY pair_id, even ORDER BY n) AS till FROM x
+  SELECT *, sum(CASE WHEN n > n_common THEN length(head || body) ELSE 0 END) OVER (PARTITION BY conv_id, good ORDER BY n) AS till FROM x
 ), z AS (
   SELECT *, CASE WHEN n > n_common AND role = 'assistant' THEN CAST(till - length(body) AS BIGINT) || '-' || CAST(till AS BIGINT) END AS span FROM y
 )
-SELECT pair_id, CAST(max(n_common) AS BIGINT) AS n_common,
-  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE even AND n <= n_common), '') AS prompt,
-  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE even AND n > n_common), '') AS chosen,
-  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE NOT even AND n > n_common), '') AS rejected,
-  coalesce(string_agg(span, ',' ORDER BY n) FILTER (WHERE even), '') AS chosen_mask,
-  coalesce(string_agg(span, ',' ORDER BY n) FILTER (WHERE NOT even), '') AS rejected_mask,
-  count(span) FILTER (WHERE even) > 0 AND count(span) FILTER (WHERE NOT even) > 0 AS usable
-FROM z GROUP BY pair_id
+SELECT conv_id, CAST(max(n_common) AS BIGINT) AS n_common,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE good AND n <= n_common), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE good AND n > n_common), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (WHERE NOT good AND n > n_common), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY n) FILTER (WHERE good), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY n) FILTER (WHERE NOT good), '') AS rejected_mask,
+  count(span) FILTER (WHERE good) > 0 AND count(span) FILTER (WHERE NOT good) > 0 AS usable
+FROM z GROUP BY conv_id
 """
 
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_preference_format": OP2_SQL}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelscope.llm.common import FOLD, folded_words, utf8
+from reelscope.llm.common import folded_words, utf8
 
 #: An automaton holds items up to so many bytes of text in all; more items make further automata, each a pass of its own.
 AUTOMATON_BYTES = 8 << 20
@@ -168,51 +167,41 @@ def decontaminate(
     names of the new ones are replaced. No shuffle: the items go to the documents, in groups of bounded size.
     """
     cols = [c for c in docs.columns if c.lower() not in NEW]
-    kept = T.StructType([docs.schema[c] for c in cols])
+    kept = [docs.schema[c] for c in cols]
+    ids, ranges = T.ArrayType(T.StringType()), T.ArrayType(T.ArrayType(T.LongType()))
+    so_far = T.StructType([*kept, T.StructField("_items", ids), T.StructField("_spans", ranges)])
+    done = T.StructType([
+        *kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", ids), T.StructField("hit_spans", ranges),
+        T.StructField("dropped", T.BooleanType()), T.StructField("clean_text", T.StringType()),
+    ])
+    groups = groups_of_items(benchmark, item_id, item_text, AUTOMATON_BYTES)
     out = docs.select(*cols)
-    schema = T.StructType([*kept.fields, T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    out = out.withColumns({"_items": F.array().cast("array<string>"), "_spans": F.array().cast("array<array<bigint>>")})
-    for items in groups_of_items(benchmark, item_id, item_text, AUTOMATON_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for number, items in enumerate(groups):
+        shared, last = docs.sparkSession.sparkContext.broadcast(items), number == len(groups) - 1
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=number == 0, last=last):
             automaton = SuffixAutomaton(shared.value, window)
             for b in batches:
                 texts, at = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist(), len(cols)
-                names, spans = b.column(at).to_pylist(), b.column(at + 1).to_pylist()
+                names, spans = ([[] for _ in texts] for _ in "ab") if first else (b.column(at).to_pylist(), b.column(at + 1).to_pylist())
+                n_words = []
                 for k, text in enumerate(texts):
-                    found, which = automaton.hits(folded_words(text))
+                    words = folded_words(text)
+                    n_words.append(len(words))
+                    found, which = automaton.hits(words)
                     if found:
                         spans[k] = [list(x) for x in merged([*map(tuple, spans[k]), *found])]
                         names[k] = sorted({*names[k], *(automaton.names[i] for i in which if automaton.names[i] is not None)})
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:at], pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=schema.names
-                )
-
-        out = out.mapInArrow(run, schema)
-    done = T.StructType([
-        *kept.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("dropped", T.BooleanType()), T.StructField("clean_text", T.StringType()),
-    ])
-
-    def finish(batches):
-        for b in batches:
-            at = len(cols)
-            texts, spans = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist(), b.column(at + 1).to_pylist()
-            n_words = [len(t.translate(FOLD).split()) if t else 0 for t in texts]
-            n_hit = [sum(y - x for x, y in s) for s in spans]
-            cut = [(without(t, s) if s and t else t) if clean else None for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:at], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), b.column(at), b.column(at + 1),
-                 pa.array([h > max_coverage * n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()), pa.array(cut, pa.binary()).cast(pa.string())],
-                names=done.names,
-            )
+                made = [pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+                if last:
+                    n_hit = [sum(y - x for x, y in s) for s in spans]
+                    cut = [(without(t, s) if s else t) if clean else None for t, s in zip(texts, spans, strict=True)]
+                    gone = pa.array([h > max_coverage * n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_())
+                    made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), *made, gone, pa.array(cut, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], *made], names=(done if last else so_far).names)
 
-    return out.mapInArrow(finish, done)
+        out = out.mapInArrow(run, done if last else so_far)
+    return out
 
 
 NEW = ("n_words", "n_hit", "hit_items", "hit_spans", "dropped", "clean_text", "_items", "_spans")
-
-
-def digest_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

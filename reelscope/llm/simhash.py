@@ -166,6 +166,8 @@ def hamming_links(distinct: DataFrame, budget: int = 4, per_subtree: int = 16384
         found = trie_links(left, right, p, budget).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
+    # the work of a group is much larger than its rows: as many tasks as there are groups, up to a limit
+    units = units.repartition(min(4096, (1 << p) * len(flips) // 2), "one", "two")
     return units.groupBy("one", "two").applyInPandas(run, "a long, b long")
 
 

@@ -23,6 +23,12 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def texts_in(df: DataFrame) -> DataFrame:
+    """The table, to be read in Arrow batches of 1,000 rows: texts are long, and a batch lies in memory on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def utf8(name: str) -> Column:
     """Text as bytes: Python then needs no decoding, and word offsets are byte offsets."""
     return F.col(name).cast("binary")

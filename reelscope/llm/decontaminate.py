@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelscope.llm.common import folded_words, utf8
+from reelscope.llm.common import folded_words, texts_in, utf8
 
 #: An automaton holds items up to so many bytes of text in all; more items make further automata, each a pass of its own.
 AUTOMATON_BYTES = 8 << 20
@@ -175,7 +175,7 @@ def decontaminate(
         T.StructField("dropped", T.BooleanType()), T.StructField("clean_text", T.StringType()),
     ])
     groups = groups_of_items(benchmark, item_id, item_text, AUTOMATON_BYTES)
-    out = docs.select(*cols)
+    out = texts_in(docs).select(*cols)
     for number, items in enumerate(groups):
         shared, last = docs.sparkSession.sparkContext.broadcast(items), number == len(groups) - 1
 

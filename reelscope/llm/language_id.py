@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelscope.llm.common import texts_in
+
 #: Byte trigrams of lower-cased letters fall into so many cells.
 CELLS = 1 << 14
 #: Every byte of a word stays; all else is one space.
@@ -45,7 +47,7 @@ def cell_counts(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             on = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(on) + 1)), pa.array(np.r_[on, 0]), pa.array(np.r_[c[on], 0])], ["lang", "cell", "n"])
 
-    rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
+    rows = texts_in(rows).where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
     return rows.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
@@ -126,7 +128,7 @@ def identify(docs: DataFrame, model: MixtureModel, text_col: str = "text") -> Da
             )
 
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))]
-    return docs.select(*cols).mapInArrow(run, T.StructType([*(docs.schema[c] for c in cols), *new]))
+    return texts_in(docs).select(*cols).mapInArrow(run, T.StructType([*(docs.schema[c] for c in cols), *new]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

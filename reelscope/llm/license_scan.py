@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reelscope.llm.common import folded_words, utf8
+from reelscope.llm.common import folded_words, texts_in, utf8
 
 #: Fixed by the contract of the query: phrase and label.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
@@ -150,7 +150,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], [id_col, *NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return texts_in(docs).select(id_col, utf8(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import if_small, plain_words, running_totals, utf8
+from reelscope.llm.common import if_small, plain_words, running_totals, texts_in, utf8
 from reelscope.session import materialize
 
 #: The sequence t * STEP mod RING is the golden-ratio sequence in steps of 1 / RING.
@@ -28,7 +28,7 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
             n = [len(plain_words(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), utf8(text_col)).mapInArrow(run, "doc_id long, source string, size long")
+    return texts_in(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), utf8(text_col)).mapInArrow(run, "doc_id long, source string, size long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:

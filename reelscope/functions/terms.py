@@ -1,15 +1,12 @@
 """Case-insensitive substring search for word lists.
 
-A list of a handful of words becomes a chain of ``contains`` in generated
-code.  Larger lists go through ``TermIndex``: the union of several lists is
-compiled into one multi-pattern automaton, each Arrow batch of texts is read
-once, and only the ids of the words found travel on.  Everything after that
-(counts, flags, categories) is plain column arithmetic on small integer
-arrays.  Reading a text once instead of once per word is what keeps corpus
-scans bound by I/O rather than by the number of words.
+The union of several lists is compiled into one multi-pattern automaton, each text is read once, and only the ids of the
+words found travel on. Everything after that (counts, flags, categories) is plain column arithmetic on small integer
+arrays. Reading a text once instead of once per word is what keeps corpus scans bound by I/O rather than by the number
+of words. All scans of one projection share one Python stage; a worker builds each automaton once.
 """
 
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,32 +15,25 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from reelscope.functions.numeric import col
 
-INLINE_LIMIT = 8
+
+@lru_cache(64)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        out.add_word(w, i)
+    out.make_automaton()
+    return out
 
 
 def _scanner(terms):
-    """Arrow UDF text -> sorted ids of the terms it contains (self-contained for the workers)."""
-    words = list(terms)
-
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-        except ImportError:
-            ahocorasick = None
-        if ahocorasick is None:
-            def find(text):
-                return [i for i, w in enumerate(words) if w in text]
-        else:
-            automaton = ahocorasick.Automaton()
-            for i, w in enumerate(words):
-                automaton.add_word(w, i)
-            automaton.make_automaton()
-
-            def find(text):
-                return sorted({i for _, i in automaton.iter(text)})
-
-        for batch in batches:
-            yield batch.map(lambda t: find(t.lower()) if t else [])
+    """Arrow UDF text -> sorted ids of the terms it contains."""
+    words = tuple(terms)
+
+    def scan(texts: pd.Series) -> pd.Series:
+        found = _automaton(words)
+        return texts.map(lambda t: sorted({i for _, i in found.iter(t.lower())}) if t else [])
 
     return F.pandas_udf(scan, ArrayType(IntegerType()))
 
@@ -83,26 +73,12 @@ def sql_text(value: str) -> str:
 
 def contains_any(text, terms) -> Column:
     """0/1: does any term occur (case-insensitive substring)?"""
-    words = tuple(dict.fromkeys(t.lower() for t in terms))
-    if len(words) > INLINE_LIMIT:
-        return (F.size(TermIndex({"t": words}).scan(text)) > 0).cast("int")
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    condition = low.contains(words[0])
-    for w in words[1:]:
-        condition = condition | low.contains(w)
-    return condition.cast("int")
+    return (term_hits(text, terms) > 0).cast("int")
 
 
 def term_hits(text, terms) -> Column:
     """Number of distinct terms that occur (case-insensitive substring)."""
-    words = tuple(dict.fromkeys(t.lower() for t in terms))
-    if len(words) > INLINE_LIMIT:
-        return F.size(TermIndex({"t": words}).scan(text))
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    total = low.contains(words[0]).cast("int")
-    for w in words[1:]:
-        total = total + low.contains(w).cast("int")
-    return total
+    return F.size(TermIndex({"t": terms}).scan(text))
 
 
 def starts_with_any(text, terms) -> Column:

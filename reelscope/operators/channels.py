@@ -9,9 +9,9 @@ from reelscope.operators.dedup import top_per_group
 
 
 def recent_n(videos: DataFrame, n: int = 20, channel: str = "channel_id", published: str = "published_at", ties=("video_id",)) -> DataFrame:
-    """Latest n uploads per channel (at most 50); pre-limited before the shuffle."""
+    """Latest n uploads per channel; ``n`` is what the caller asks for."""
     orders = [F.col(published).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
-    return top_per_group(videos, [channel], orders, min(n, 50)).drop("rank")
+    return top_per_group(videos, [channel], orders, n).drop("rank")
 
 
 def channel_recent_videos(
@@ -19,7 +19,7 @@ def channel_recent_videos(
 ) -> DataFrame:
     """channel -> uploads playlist -> first n items (position) -> video statistics."""
     listed = top_per_group(
-        items.where(F.col("video_id").isNotNull()), ["playlist_id"], [F.col("position").asc()], min(n, 50)
+        items.where(F.col("video_id").isNotNull()), ["playlist_id"], [F.col("position").asc()], n
     ).drop("rank")
     owned = channels.select("channel_id", F.col("uploads_playlist_id").alias("playlist_id")).join(listed, "playlist_id")
     return owned.join(videos, "video_id")

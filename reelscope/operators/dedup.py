@@ -26,7 +26,11 @@ def dedup_latest(df: DataFrame, key: str = "video_id", order: str = "views", tie
 
 
 def top_per_group(df: DataFrame, keys: list[str], orders, k: int) -> DataFrame:
-    """First k rows per group; pre-limited before the shuffle."""
+    """First k rows per group.
+
+    For small k the rank filter also runs before the shuffle, so that a group sends k rows per task; for a k in the
+    thousands a group's rows meet in one task.
+    """
     w = Window.partitionBy(*keys).orderBy(*orders)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelscope.functions.numeric import ratio
 from reelscope.operators.ordering import exact_quantiles, running_totals, with_scalars
+from reelscope.session import few
 
 
 def _counts(y="y", pred="pred") -> list[Column]:
@@ -231,7 +232,7 @@ def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFr
     weights = with_scalars(sizes, facts, "_f").select(
         target, (F.col("_f.n") / (F.col("_f.k") * F.col("_n"))).alias(name)
     )
-    return df.join(weights, target)
+    return df.join(F.broadcast(weights) if few(sizes) else weights, target)
 
 
 def dummy_baselines(train: DataFrame, test: DataFrame, *, key: str, y: str = "y", seed=42) -> DataFrame:

@@ -114,11 +114,12 @@ def _stratum(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def hash_cutoffs(df: DataFrame, order: Column, stratum: Column, targets: DataFrame) -> DataFrame:
+def hash_cutoffs(df: DataFrame, order: Column, stratum: Column, targets: DataFrame, small: bool = False) -> DataFrame:
     """Hash value of the k-th row of each stratum: (stratum, cutoff).
 
     ``targets`` has (stratum as text, k); k = 0 gives no row.  Only hash prefixes are
-    counted for all rows and only one prefix per stratum is ordered.
+    counted for all rows and only one prefix per stratum is ordered. ``small``: the caller has checked that the strata
+    are few, so that one row for each may be broadcast.
     """
     keyed = df.select(_stratum(stratum).alias("stratum"), order.alias("h")).withColumn("bucket", F.substring("h", 1, HASH_PREFIX))
     counts = keyed.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
@@ -130,7 +131,7 @@ def hash_cutoffs(df: DataFrame, order: Column, stratum: Column, targets: DataFra
         .where((F.col("k") > F.col("before")) & (F.col("k") <= F.col("upto")))
         .select("stratum", "bucket", (F.col("k") - F.col("before")).alias("rest"))
     )
-    ranked = keyed.join(edge, ["stratum", "bucket"]).withColumn(
+    ranked = keyed.join(F.broadcast(edge) if small else edge, ["stratum", "bucket"]).withColumn(
         "r", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h"))
     )
     return ranked.where(F.col("r") == F.col("rest")).select("stratum", F.col("h").alias("cutoff"))

@@ -12,6 +12,7 @@ from reelscope.functions.temporal import as_timestamp, calendar_parts, season
 from reelscope.functions.terms import TermIndex
 from reelscope.operators import messages as msg
 from reelscope.operators.normalize import category_map
+from reelscope.session import few
 
 _NICHES = TermIndex(fv.NICHE_TERMS)
 
@@ -55,7 +56,8 @@ def niche_cpm(df: DataFrame, table: DataFrame | None = None, niche: str = "ad_ni
     default = fv.NICHE_BASE_CPM[fv.NICHE_DEFAULT]
     if table is None:
         return df.withColumn("base_cpm", lookup(F.col(niche), fv.NICHE_BASE_CPM, default))
-    joined = df.join(table.select(F.col("niche").alias(niche), "base_cpm"), niche, "left")
+    side = table.select(F.col("niche").alias(niche), "base_cpm")
+    joined = df.join(F.broadcast(side) if few(side) else side, niche, "left")
     return joined.withColumn("base_cpm", F.coalesce("base_cpm", F.lit(default)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.operators.ordering import hash_cutoffs, hash_order, hash_rank
+from reelscope.session import few
 
 ALL = "all"
 
@@ -23,10 +24,17 @@ def _with_total(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("total", sizes.agg(F.sum("n")).scalar())
 
 
-def _selected(df: DataFrame, key, seed, stratum: Column, targets: DataFrame, flag: str) -> DataFrame:
-    """Adds a boolean column: among the first k rows of the stratum in hash order."""
+def _selected(df: DataFrame, key, seed, stratum: Column, targets: DataFrame, flag: str, among: DataFrame | None = None) -> DataFrame:
+    """Adds a boolean column: among the first k rows of the stratum in hash order (of the rows of ``among``, if given).
+
+    Cut-offs have a row per class. If the classes are few, they are sent to the rows; only for very many classes, which
+    are then no hot keys, are the rows shuffled.
+    """
     order = hash_order(key, seed)
-    cut = hash_cutoffs(df, order, stratum, targets)
+    small = few(targets)
+    cut = hash_cutoffs(df if among is None else among, order, stratum, targets, small)
+    if small:
+        cut = F.broadcast(cut)
     keyed = df.withColumn("_s", F.coalesce(stratum.cast("string"), F.lit(""))).withColumn("_h", order)
     return (
         keyed.join(cut.withColumnRenamed("stratum", "_s"), "_s", "left")
@@ -47,11 +55,10 @@ def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float = 0.
 def three_way_split(df: DataFrame, key: str, stratum: str, test: float = 0.15, val: float = 0.15, seed=42) -> DataFrame:
     """Adds ``part`` (test / val / train) with exact class shares."""
     first = stratified_split(df, key, stratum, test, seed)
-    rest = stratified_split(first.where(~F.col("is_test")), key, stratum, val / (1 - test), f"{seed}v").select(
-        key, F.col("is_test").alias("_val")
-    )
+    s, rest = F.col(stratum), first.where(~F.col("is_test"))
+    targets = _class_sizes(rest, s).select("stratum", F.bround(F.col("n") * F.lit(val / (1 - test))).cast("bigint").alias("k"))
     return (
-        first.join(rest, key, "left")
+        _selected(first, key, f"{seed}v", s, targets, "_val", rest)
         .withColumn(
             "part",
             F.when(F.col("is_test"), F.lit("test")).when(F.col("_val"), F.lit("val")).otherwise(F.lit("train")),

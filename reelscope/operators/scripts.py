@@ -101,7 +101,7 @@ def transcript_features(documents: DataFrame, source: str = "transcripts") -> Da
     )
 
 
-def pattern_terms(features: DataFrame, *, key: str = "video_id", top: int = 150, n: int = 20) -> DataFrame:
+def pattern_terms(features: DataFrame, *, key: str = "video_id", top: int, n: int = 20) -> DataFrame:
     """Document frequency of hook, benefit and call-to-action terms in the best scripts: (kind, term, n, rank)."""
     from reelscope.operators.dedup import top_per_group
 
@@ -112,7 +112,7 @@ def pattern_terms(features: DataFrame, *, key: str = "video_id", top: int = 150,
     return top_per_group(counts, ["kind"], [F.col("n").desc(), F.col("term").asc()], n)
 
 
-def pattern_reference(features: DataFrame, *, key: str = "video_id", top: int = 150, n: int = 20) -> DataFrame:
+def pattern_reference(features: DataFrame, *, key: str = "video_id", top: int, n: int = 20) -> DataFrame:
     """One row: size, mean and 75th percentile of quality, most frequent terms; defaults for an empty corpus."""
     terms = pattern_terms(features, key=key, top=top, n=n)
     # At most n terms per kind reach these lists.

@@ -23,10 +23,14 @@ def _whole(words) -> str:
     return "(?<![^ ])(?:" + "|".join(words) + ")(?![^ ])"
 
 
-def cap_comments(df: DataFrame, n: int = 100, video="video_id", order="position") -> DataFrame:
+def written_comments(df: DataFrame) -> DataFrame:
+    """All comments that are not blank."""
+    return df.where(T.strip("text") != "")
+
+
+def cap_comments(df: DataFrame, n: int, video="video_id", order="position") -> DataFrame:
     """First n non-blank comments per video in arrival order."""
-    kept = df.where(T.strip("text") != "")
-    return top_per_group(kept, [video], [F.col(order).asc()], n).drop("rank")
+    return top_per_group(written_comments(df), [video], [F.col(order).asc()], n).drop("rank")
 
 
 def negated_positives(clean: Column) -> Column:
@@ -38,7 +42,7 @@ def negated_positives(clean: Column) -> Column:
 
 
 def score_comments(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``score_raw``, ``score`` (three decimals), ``label`` and the text cut to 500 characters."""
+    """Adds ``score_raw``, ``score`` (three decimals), ``label`` and ``text500``, the start of the text for display; the score reads all of it."""
     base = df.withColumn("_c", T.sentiment_clean(text)).withColumn("_f", _INDEX.scan("_c"))
     base = base.withColumns(
         {
@@ -119,8 +123,8 @@ def with_empty_sentiment(df: DataFrame) -> DataFrame:
     )
 
 
-def top_words(scored: DataFrame, keys=("label",), n: int = 20, text: str = "text500", extra_stopwords=()) -> DataFrame:
-    """Most frequent content tokens per group; ties alphabetically."""
+def top_words(scored: DataFrame, keys=("label",), n: int = 20, text: str = "text", extra_stopwords=()) -> DataFrame:
+    """Most frequent content tokens of the whole texts per group; ties alphabetically."""
     tokens = scored.select(*keys, F.explode(T.content_tokens(text, extra_stopwords)).alias("word"))
     counts = tokens.groupBy(*keys, "word").agg(F.count("*").alias("n"))
     return top_per_group(counts, list(keys), [F.col("n").desc(), F.col("word").asc()], n)

@@ -21,12 +21,12 @@ from reelscope.operators import visual as W
 
 def video_with_signals(
     videos: DataFrame, *, comments: DataFrame | None = None, frames: DataFrame | None = None,
-    images: DataFrame | None = None, channels: DataFrame | None = None, max_comments: int = 100,
+    images: DataFrame | None = None, channels: DataFrame | None = None,
 ) -> DataFrame:
     """One row per video with its comment, on-screen-text, frame and channel roll-ups (left joins on ``video_id``)."""
     out = videos
     if comments is not None:
-        summary = M.sentiment_summary(M.score_comments(M.cap_comments(comments, max_comments)))
+        summary = M.sentiment_summary(M.score_comments(M.written_comments(comments)))
         out = out.join(summary, "video_id", "left")
         out = M.with_empty_sentiment(out).withColumnRenamed("warning", "sentiment_warning")
     if frames is not None:

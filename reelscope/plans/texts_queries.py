@@ -243,8 +243,8 @@ def human_review(spark, sf):
 NEG = s.lst(fv.SENTIMENT_NEGATORS)
 POS = s.lst(fv.SENTIMENT_POSITIVE_TERMS)
 SENT_SQL = f"""{V.COMMENTS_SQL},
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY position) AS rn FROM comments WHERE {s.strip('text')} <> '') WHERE rn <= 100),
-c0 AS MATERIALIZED (SELECT video_id, position, text, {SENTIMENT_CLEAN_SQL} AS c FROM capped),
+written AS (SELECT * FROM comments WHERE {s.strip('text')} <> ''),
+c0 AS MATERIALIZED (SELECT video_id, position, text, {SENTIMENT_CLEAN_SQL} AS c FROM written),
 c1 AS MATERIALIZED (SELECT *, string_split(c, ' ') AS w FROM c0),
 c2 AS MATERIALIZED (SELECT *, {s.hits('c', fv.SENTIMENT_POSITIVE_TERMS)} AS p, {s.hits('c', fv.SENTIMENT_NEGATIVE_TERMS)} AS n,
   len(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: list_contains({NEG}, z[1]) AND len(list_filter({POS},
@@ -256,7 +256,7 @@ scored_comments AS MATERIALIZED (SELECT video_id, position, text, raw, round(raw
 
 
 def scored_comments(spark, sf):
-    return M.score_comments(M.cap_comments(V.comments(spark, sf), 100))
+    return M.score_comments(M.written_comments(V.comments(spark, sf)))
 
 
 @query("cap_comments", f"WITH {V.COMMENTS_SQL} SELECT video_id, position FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY position) AS rn FROM comments) WHERE rn <= 2")
@@ -283,7 +283,7 @@ def sentiment_summary(spark, sf):
 
 @query(
     "top_words",
-    f"""WITH {SENT_SQL}, t AS (SELECT label, unnest({content_tokens_sql('text500')}) AS word FROM scored_comments),
+    f"""WITH {SENT_SQL}, t AS (SELECT label, unnest({content_tokens_sql('text')}) AS word FROM scored_comments),
         c AS (SELECT label, word, count(*) AS n FROM t GROUP BY 1, 2)
         SELECT label, word, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 20""",
 )
@@ -371,7 +371,7 @@ def pattern_terms(spark, sf):
       (SELECT round(avg(quality), 2) FROM script) AS quality_score_mean, (SELECT round(quantile_cont(quality, 0.75), 2) FROM script) AS quality_score_p75""",
 )
 def pattern_reference(spark, sf):
-    return Q.pattern_reference(script_features(spark, sf)).select("source", "n_transcripts", "quality_score_mean", "quality_score_p75")
+    return Q.pattern_reference(script_features(spark, sf), top=150).select("source", "n_transcripts", "quality_score_mean", "quality_score_p75")
 
 
 FULL_TEXT = "{t} || ' ' || {d} || ' ' || {r} || ' ' || category_id || ' ' || tags".format(

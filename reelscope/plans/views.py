@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope.session import spread, table
+from reelscope.session import table
 
 AS_OF = "2024-02-01T00:00:00Z"
 AS_OF_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -61,7 +61,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
     )
     text = F.col("text")
     counts = ("views", "likes", "comments", "shares", "average_watch_time")
-    return spread(docs).join(per_doc, "doc_id", "left").select(
+    return docs.join(per_doc, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("video_id"),
         F.substring_index(text, "\n", 1).alias("title"),
         F.when(text.contains("\n"), F.substr(text, F.length(F.substring_index(text, "\n", 1)) + 2)).otherwise("").alias("description"),
@@ -78,7 +78,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ comments AS (
 
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "conversations").where(F.col("role") == "user")).select(
+    return table(spark, sf, "conversations").where(F.col("role") == "user").select(
         F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("position"), "text"
     )
 

@@ -1,4 +1,4 @@
-"""Session-level helpers: table access, spreading of small inputs, durable intermediates."""
+"""Session-level helpers: table access, size checks, durable intermediates."""
 
 from __future__ import annotations
 
@@ -7,23 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+_STAGES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to be split by the scan; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) <= SMALL_INPUT_BYTES * max(cores // 8, 1):
-        return df.repartition(cores)
-    return df
+def few(df: DataFrame, rows: int = 10_000) -> bool:
+    """True if the table has no more than so many rows: then it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -42,4 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the intermediates of this process. Call it once the results built on them are written."""
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

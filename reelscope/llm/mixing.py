@@ -79,10 +79,11 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     had = plan.join(counts.groupBy("sno").agg(F.sum("n").alias("had")), "sno", "left").withColumn("had", F.coalesce("had", F.lit(0)))
     short = had.where("had < need").select(F.lit(n).cast("long").alias("slot"), "sno", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
     short = short.withColumn("slot", F.col("slot") + F.col("rank"))
-    of = if_small(plan.select("sno", "need", "blocks", "passes", "rest"))
+    of = if_small(plan.select("sno", "need", "blocks", "passes", "rest", "source_size"))
     out = ranked.unionByName(short).join(of, "sno").where("rank < need")
     out = out.withColumns({"pass": F.expr("rank div blocks"), "block": F.expr("rank % blocks")})
-    limit = F.when(F.expr("pass < passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - F.col("block") * block))
+    stream = F.when(F.expr("pass < passes"), F.col("source_size")).otherwise(F.col("rest"))
+    limit = F.least(F.lit(block), stream - F.col("block") * block)
     return out.select("slot", "sno", "rank", "block", limit.cast("long").alias("words"))
 
 

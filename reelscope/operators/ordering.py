@@ -127,7 +127,7 @@ def hash_cutoffs(df: DataFrame, order: Column, stratum: Column, targets: DataFra
         "upto", F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket"))
     ).withColumn("before", F.col("upto") - F.col("n"))
     edge = (
-        running.join(targets, "stratum")
+        running.join(F.broadcast(targets) if small else targets, "stratum")
         .where((F.col("k") > F.col("before")) & (F.col("k") <= F.col("upto")))
         .select("stratum", "bucket", (F.col("k") - F.col("before")).alias("rest"))
     )

@@ -47,6 +47,25 @@ class CoverTree:
                 node, r = todo.pop()
                 todo += self._split(node, r)
 
+    def packed(self) -> tuple[np.ndarray, bytes]:
+        """The permutation, and the tree over the points in that order."""
+        place = np.argsort(self.order)
+        parent = np.full(len(self.nodes), -1.0)
+        for k, below in enumerate(self.kids):
+            parent[below] = k
+        rows = [(a, b, place[c], r, parent[k]) for k, (a, b, c, r) in enumerate(self.nodes)]
+        return self.order, np.array(rows, "<f8").reshape(-1, 5).tobytes()
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, blob: bytes) -> CoverTree:
+        tree = cls(x[:0])
+        tree.x, tree.order = x, np.arange(len(x))
+        for a, b, c, r, parent in np.frombuffer(blob, "<f8").reshape(-1, 5).tolist():
+            node = tree._add(int(a), int(b), int(c), r)
+            if parent >= 0:
+                tree.kids[int(parent)].append(node)
+        return tree
+
     def _add(self, a: int, b: int, centre: int, radius: float) -> int:
         self.nodes.append((a, b, centre, float(radius)))
         self.kids.append([])
@@ -110,9 +129,12 @@ def dual_search(queries: CoverTree, qid: np.ndarray, data: CoverTree, vid: np.nd
             c, d = data.nodes[j][:2]
             cols = data.order[c:d]
             s = np.rint(queries.x[rows] @ data.x[cols].T).astype(np.int64)
-            v = np.broadcast_to(vid[cols], s.shape).copy()
-            s[v == qid[rows][:, None]] = NONE
-            v[v == qid[rows][:, None]] = LAST
+            s[vid[cols] == qid[rows][:, None]] = NONE
+            some = (s >= worst[rows][:, None]).any(1)  # the others gain nothing here
+            if not some.any():
+                continue
+            rows, s = rows[some], s[some]
+            v = np.where(s == NONE, LAST, vid[cols])
             s, v = np.concatenate([best_s[rows], s], 1), np.concatenate([best_v[rows], v], 1)
             pick = np.lexsort((v, -s), axis=1)[:, :k] if s.shape[1] else np.empty((len(rows), 0), int)
             best_s[rows], best_v[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(v, pick, 1)
@@ -140,7 +162,7 @@ def longs(blob: Column) -> Column:
 
 
 def blocks_of(vectors: DataFrame, pivots: np.ndarray, salt: str) -> DataFrame:
-    """(blk, pivot, n, centre, radius, ids, data): vectors by nearest pivot, BLOCK at most on average for each.
+    """(blk, pivot, centre, radius, ids, data, tree): vectors and their cover tree, by nearest pivot, BLOCK at most on average for each.
 
     A pivot with many vectors, such as copies of one, has as many blocks as its number asks for, dealt by hash.
     """
@@ -160,9 +182,13 @@ def blocks_of(vectors: DataFrame, pivots: np.ndarray, salt: str) -> DataFrame:
         x, ids = np.stack(pdf.v.to_numpy()).astype(np.int64), pdf.vec_id.to_numpy()
         centre = np.rint(x.mean(0)).astype(np.int64)
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
-        return pd.DataFrame({"blk": [int(key[0]) << 32 | int(key[1])], "pivot": [int(key[0])], "centre": [packed(centre)], "radius": [radius], "ids": [packed(ids)], "data": [packed(x)]})
+        order, tree = CoverTree(x.astype(float)).packed()
+        return pd.DataFrame({
+            "blk": [int(key[0]) << 32 | int(key[1])], "pivot": [int(key[0])], "centre": [packed(centre)], "radius": [radius],
+            "ids": [packed(ids[order])], "data": [packed(x[order])], "tree": [tree],
+        })
 
-    return dealt.groupBy("pivot", "part").applyInPandas(build, "blk long, pivot long, centre binary, radius double, ids binary, data binary")
+    return dealt.groupBy("pivot", "part").applyInPandas(build, "blk long, pivot long, centre binary, radius double, ids binary, data binary, tree binary")
 
 
 def nearest_by_product(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -181,7 +207,7 @@ def nearest_by_product(vectors: DataFrame, is_query: Column, k: int = 5) -> Data
     pivots = np.unique(np.array([r.v for r in sample], float), axis=0)
     dim = pivots.shape[1]
     data = materialize(blocks_of(vectors.select("vec_id", "v"), pivots, "d"))
-    queries = materialize(blocks_of(vectors.where("q").select("vec_id", "v"), pivots, "q").withColumnsRenamed({c: f"q_{c}" for c in ("blk", "pivot", "centre", "radius", "ids", "data")}))
+    queries = materialize(blocks_of(vectors.where("q").select("vec_id", "v"), pivots, "q").withColumnsRenamed({c: f"q_{c}" for c in ("blk", "pivot", "centre", "radius", "ids", "data", "tree")}))
 
     def unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim).astype(float)
@@ -191,7 +217,7 @@ def nearest_by_product(vectors: DataFrame, is_query: Column, k: int = 5) -> Data
             for row in pdf.itertuples(index=False):
                 (qid, q), (vid, x) = unpack(row.q_ids, row.q_data), unpack(row.ids, row.data)
                 low = np.frombuffer(row.floors, "<i8") if getattr(row, "floors", None) is not None else np.full(len(qid), NONE)
-                n, v, s = dual_search(CoverTree(q), qid, CoverTree(x), vid, k, low)
+                n, v, s = dual_search(CoverTree.unpacked(q, row.q_tree), qid, CoverTree.unpacked(x, row.tree), vid, k, low)
                 yield pd.DataFrame({"query_id": qid[n], "vec_id": v, "score": s})
 
     own = queries.join(data, queries.q_pivot == data.pivot)
@@ -222,7 +248,7 @@ def nearest_by_product(vectors: DataFrame, is_query: Column, k: int = 5) -> Data
     )
     todo = tops.where(highest("q_centre", "q_radius", "centre", "radius") * (1 + 1e-6) + 1e-3 >= F.col("least")).select("q_blk", "blk")
     todo = materialize(todo)
-    pairs = todo.join(queries.select("q_blk", "q_ids", "q_data", "floors"), "q_blk").join(data.select("blk", "ids", "data"), "blk")
+    pairs = todo.join(queries.select("q_blk", "q_ids", "q_data", "q_tree", "floors"), "q_blk").join(data.select("blk", "ids", "data", "tree"), "blk")
     n = max(1, todo.count())
     rest = pairs.repartition(min(n, 4096), "q_blk", "blk").mapInPandas(search, out)
     ranked = first.union(rest).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

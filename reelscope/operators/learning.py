@@ -31,7 +31,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope import fixed_values as fv
@@ -294,15 +294,16 @@ def benchmark_table(train: DataFrame, test: DataFrame, best: DataFrame, *, key:
     return E.model_metrics(base.unionByName(rule).unionByName(best), one_class=None)
 
 
-def cross_val_f1(df: DataFrame, builders: dict, *, key: str, label: str = "label", folds: int = 5, seed=42) -> DataFrame:
-    """F1 mean and deviation per classifier over class-balanced folds of a vector table."""
-    folded = materialize(S.kfold_stratified(df, key, label, folds, seed))
+def cross_val_f1(df: DataFrame, builders: dict, *, key: str, target: str, folds: int = 5, seed=42) -> DataFrame:
+    """F1 mean and deviation per classifier over class-balanced folds; feature stages are fitted inside each fold."""
+    folded = materialize(S.kfold_stratified(df, key, target, folds, seed))
     parts = []
-    for name, fit in builders.items():
-        for k in range(folds):
-            model = fit(folded.where(F.col("fold") != k).drop("fold"))
-            hold = folded.where(F.col("fold") == k).drop("fold")
-            parts.append(predictions(model, hold, name, key=key, label=label).withColumn("fold", F.lit(k)))
+    for k in range(folds):
+        _, rest, hold = prepare_vectors(
+            folded.where(F.col("fold") != k).drop("fold"), folded.where(F.col("fold") == k).drop("fold"), key=key, target=target
+        )
+        for name, fit in builders.items():
+            parts.append(predictions(fit(rest), hold, name, key=key).withColumn("fold", F.lit(k)))
     per_fold = E.confusion(reduce(lambda a, b: a.unionByName(b), parts), ("model", "fold"))
     return per_fold.groupBy("model").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"))
 
@@ -415,8 +416,8 @@ def linear_attribution(df: DataFrame, coefficients, *, background: DataFrame | N
     m = F.lit([float(v) for v in mean])
     x = vector_to_array("features")
     parts = F.zip_with(F.zip_with(x, m, lambda a, b: a - b), w, lambda d, v: F.abs(d * v))
-    long = df.select(F.posexplode(parts).alias("position", "contribution"))
-    ranked = long.groupBy("position").agg(F.avg("contribution").alias("importance"))
+    means = df.select(array_to_vector(parts).alias("v")).select(Summarizer.mean(F.col("v")).alias("m"))
+    ranked = means.select(F.posexplode(vector_to_array("m")).alias("position", "importance"))
     if names:
         table = F.lit(list(names))
         ranked = ranked.withColumn("feature", F.get(table, F.col("position")))
@@ -451,8 +452,16 @@ def permutation_importance(df: DataFrame, score, columns, *, key: str, repeats:
     )
 
 
-def noise_robustness(df: DataFrame, score, columns, sigmas=(0.0, 0.05, 0.10, 0.20, 0.35), *, reference: DataFrame | None = None, seed=42) -> DataFrame:
-    """F1 per noise level: every numeric column gets N(0, sigma * its deviation)."""
+def normal_of(key: str, salt) -> Column:
+    """Standard normal number from a hash of the key: the same for a row however the table is partitioned."""
+    def uniform(part):
+        return (F.pmod(F.xxhash64(F.col(key), F.lit(f"{salt}{part}")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    return F.sqrt(-2 * F.log(uniform("a"))) * F.cos(2 * F.pi() * uniform("b"))
+
+
+def noise_robustness(df: DataFrame, score, columns, sigmas=(0.0, 0.05, 0.10, 0.20, 0.35), *, key: str, reference: DataFrame | None = None, seed=42) -> DataFrame:
+    """F1 per noise level: every numeric column gets N(0, sigma * its deviation in ``reference``). Meant for held-out rows."""
     stats = (reference if reference is not None else df).agg(
         *[F.coalesce(F.stddev_samp(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns]
     ).first()
@@ -461,7 +470,7 @@ def noise_robustness(df: DataFrame, score, columns, sigmas=(0.0, 0.05, 0.10, 0.2
         noisy = df
         if s > 0:
             noisy = df.withColumns({
-                c: F.col(c).cast("double") + F.randn(seed + i) * (s * float(stats[c])) for i, c in enumerate(columns)
+                c: F.col(c).cast("double") + normal_of(key, seed + i) * (s * float(stats[c])) for i, c in enumerate(columns)
             })
         rows.append(E.confusion(score(noisy)).select(F.lit(float(s)).alias("sigma"), "f1"))
     return reduce(lambda a, b: a.unionByName(b), rows)

@@ -98,12 +98,12 @@ def logistic(spark, sf):
 
 @query("linear_svc_calibrated")
 def svc(spark, sf):
-    return one_model(spark, sf, lambda d: M.linear_svc_calibrated(d, key="video_id", max_iter=30), "linear_svc")
+    return one_model(spark, sf, lambda d: M.linear_svc_calibrated(d, key="video_id"), "linear_svc")
 
 
 @query("random_forest")
 def forest(spark, sf):
-    return one_model(spark, sf, lambda d: M.random_forest(d, trees=20, depth=6), "random_forest")
+    return one_model(spark, sf, M.random_forest, "random_forest")
 
 
 @query("gbt_classifier")
@@ -130,8 +130,7 @@ def save_and_load(spark, sf):
 
 @query("cross_val_f1")
 def cross_val(spark, sf):
-    _, train, _ = vectors(spark, sf)
-    return M.cross_val_f1(train, {"logistic_regression": lambda d: M.logistic_regression(d, max_iter=20)}, key="video_id", folds=3)
+    return M.cross_val_f1(training(spark, sf), {"logistic_regression": M.logistic_regression}, key="video_id", target=fv.TARGET)
 
 
 @query("benchmark_table")
@@ -144,7 +143,7 @@ def benchmark(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    return M.learning_curve(training(spark, sf), (100, 200), key="video_id", target=fv.TARGET, max_iter=20, caps={0: 3500, 1: 1500})
+    return M.learning_curve(training(spark, sf), (100, 200), key="video_id", target=fv.TARGET)
 
 
 @query("paid_regressor")
@@ -171,20 +170,20 @@ def embedded(spark, sf):
 
 @query("pca")
 def pca(spark, sf):
-    out, _ = M.pca(embedded(spark, sf), 10)
+    out, _ = M.pca(embedded(spark, sf), 50)
     return out.select("vec_id", F.size(vector_to_array("reduced")).alias("n"))
 
 
 @query("kmeans")
 def kmeans(spark, sf):
-    reduced, _ = M.pca(embedded(spark, sf), 10)
+    reduced, _ = M.pca(embedded(spark, sf), 50)
     out, _ = M.kmeans(materialize(reduced.select("vec_id", "label", "reduced")), 6)
     return out.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("label").alias("mean_label"))
 
 
 @query("elbow")
 def elbow(spark, sf):
-    reduced, _ = M.pca(embedded(spark, sf), 10)
+    reduced, _ = M.pca(embedded(spark, sf), 50)
     return M.elbow(materialize(reduced.select("reduced")), range(3, 12))
 
 
@@ -200,36 +199,36 @@ def embedding_classifier(spark, sf):
 def attribution(spark, sf):
     _, train, test = vectors(spark, sf)
     model = M.logistic_regression(train)
-    sample = S.bootstrap_subset(test, "video_id", 300)
-    return M.linear_attribution(sample, model.coefficients.toArray(), background=train)
+    return M.linear_attribution(test, model.coefficients.toArray(), background=train)
 
 
 def dense_model(spark, sf):
-    """Logistic regression on the numeric columns only, and its scorer for perturbed tables."""
+    """Logistic regression on the numeric columns only: its training rows, held-out rows and its scorer for perturbed tables."""
     d = training(spark, sf).select("video_id", fv.TARGET, *[F.col(c).cast("double").alias(c) for c in fv.NUMERIC_FEATURES])
-    stages = M.numeric_preprocessing(d)
+    train, test = split(d)
+    stages = M.numeric_preprocessing(train)
 
     def prepared(t):
         return stages.transform(t).withColumnRenamed("numeric_vector", "features").withColumn("label", F.col(fv.TARGET).cast("double"))
 
-    model = M.logistic_regression(E.balanced_weights(prepared(d), "label"))
+    model = M.logistic_regression(E.balanced_weights(prepared(train), "label"))
 
     def score(t):
         return M.predictions(model, prepared(t), "m", key="video_id").select("y", "pred")
 
-    return d, score
+    return train, test, score
 
 
 @query("permutation_importance")
 def permutation(spark, sf):
-    d, score = dense_model(spark, sf)
-    return M.permutation_importance(d, score, ("title_len", "text_total_word_count"), key="video_id", repeats=2)
+    _, test, score = dense_model(spark, sf)
+    return M.permutation_importance(test, score, ("title_len", "text_total_word_count"), key="video_id")
 
 
 @query("noise_robustness")
 def noise(spark, sf):
-    d, score = dense_model(spark, sf)
-    return M.noise_robustness(d, score, fv.NUMERIC_FEATURES)
+    train, test, score = dense_model(spark, sf)
+    return M.noise_robustness(test, score, fv.NUMERIC_FEATURES, key="video_id", reference=train)
 
 
 @query("score_videos_with_model")

@@ -9,7 +9,8 @@ from reelscope.functions import text as T
 from reelscope.functions.numeric import let
 from reelscope.operators.dedup import union_by_name
 
-CSV_OPTIONS = {"header": True, "mode": "PERMISSIVE", "multiLine": True, "quote": '"', "escape": '"'}
+#: Without ``multi_line`` a file is split among tasks; with it, quoted line breaks are read and a file is one task.
+CSV_OPTIONS = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
 
 
 def _csv_headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
@@ -33,7 +34,7 @@ def _csv_headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     return headers
 
 
-def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+def read_corpus(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All CSV files of a folder in name order, outer-united by column name, with ``source_file``.
 
     Files that share a header are read by one scan.  Everything stays text:
@@ -43,7 +44,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     if not by_header:
         raise FileNotFoundError(f"no readable CSV file in {folder}")
     frames = [
-        spark.read.options(**CSV_OPTIONS).csv(paths).select("*", F.col("_metadata.file_name").alias("source_file"))
+        spark.read.options(**CSV_OPTIONS, multiLine=multi_line).csv(paths).select("*", F.col("_metadata.file_name").alias("source_file"))
         for paths in by_header.values()
     ]
     return union_by_name(frames)

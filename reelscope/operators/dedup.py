@@ -58,14 +58,15 @@ def clean_lines(lines) -> Column:
 
 def containment_dedup(lines) -> Column:
     """Greedy fold over an ordered array: drop a line contained in, or containing, one kept before."""
-    empty = F.array().cast("array<string>")
+    # Lower-cased once per line, not once per pair.
+    pairs = F.transform(col(lines), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    empty = F.array().cast("array<struct<line:string,low:string>>")
 
-    def step(kept, line):
-        low = F.lower(line)
-        duplicate = F.exists(kept, lambda e: F.lower(e).contains(low) | low.contains(F.lower(e)))
-        return F.when(duplicate, kept).otherwise(F.concat(kept, F.array(line)))
+    def step(kept, new):
+        duplicate = F.exists(kept, lambda e: e["low"].contains(new["low"]) | new["low"].contains(e["low"]))
+        return F.when(duplicate, kept).otherwise(F.concat(kept, F.array(new)))
 
-    return F.aggregate(col(lines), empty, step)
+    return F.aggregate(pairs, empty, step, lambda kept: F.transform(kept, lambda e: e["line"]))
 
 
 def _fuzzy(threshold: float):

@@ -31,16 +31,26 @@ def density_class(n_words: Column) -> Column:
     )
 
 
-def ocr_counts(frames: DataFrame, video: str = "video_id") -> DataFrame:
-    """Per video: frames, frames with text, coverage, confidence and engines (mergeable sums only)."""
-    has_text = F.size("lines") > 0
-    per_engine = frames.groupBy(video, "engine").agg(
-        F.count("*").alias("n"),
-        F.count_if(has_text).alias("with_text"),
-        F.count_if(F.coalesce("presence", F.lit(False))).alias("present"),
-        F.count_if(F.col("confidence") > 0).alias("conf_n"),
-        F.sum(F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(F.lit(0.0))).alias("conf_sum"),
+def video_text(frames: DataFrame, video: str = "video_id") -> DataFrame:
+    """Per video: frames, frames with text, coverage, confidence, engines, and its lines in order of first appearance.
+
+    One pass over the frames: a frame becomes a row for each line (one row if it has none), and its own facts count on
+    the first of them. Copies of a line collapse before the shuffle; what is collected per video is the set of different
+    lines of its sampled frames.
+    """
+    rows = frames.select(video, "engine", "ts", "presence", "confidence", F.posexplode_outer("lines").alias("pos", "line"))
+    head = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    sure = head & (F.col("confidence") > 0)
+    per_line = rows.groupBy(video, "engine", F.lower("line").alias("low")).agg(
+        F.count_if(head).alias("n"),
+        F.count_if(F.col("pos") == 0).alias("with_text"),
+        F.count_if(head & F.coalesce("presence", F.lit(False))).alias("present"),
+        F.count_if(sure).alias("conf_n"),
+        F.sum(F.when(sure, F.col("confidence")).otherwise(F.lit(0.0))).alias("conf_sum"),
+        F.min(F.when(F.col("line").isNotNull(), F.struct("ts", "pos", "line"))).alias("first"),
     )
+    sums = [F.sum(c).alias(c) for c in ("n", "with_text", "present", "conf_n", "conf_sum")]
+    per_engine = per_line.groupBy(video, "engine").agg(*sums, F.collect_list("first").alias("firsts"))
     # One row per engine name from here on.
     engines = F.sort_array(F.collect_list(F.struct("engine", "n")))
     rolled = per_engine.groupBy(video).agg(
@@ -51,39 +61,23 @@ def ocr_counts(frames: DataFrame, video: str = "video_id") -> DataFrame:
         F.sum("conf_sum").alias("_cs"),
         F.map_from_entries(engines).alias("ocr_engine_counts"),
         F.min_by("engine", F.struct(-F.col("n"), F.col("engine"))).alias("ocr_engine"),
+        F.flatten(F.collect_list("firsts")).alias("_firsts"),
     )
     return rolled.withColumns(
         {
             "ocr_frame_coverage": F.round(F.col("ocr_frames_with_text") / F.col("ocr_frame_count"), 3),
             "_conf": F.when(F.col("_cn") > 0, F.col("_cs") / F.col("_cn")).otherwise(F.lit(0.0)),
             "ocr_text_presence_detected": F.col("_present") > 0,
+            "lines": F.transform(F.array_sort("_firsts"), lambda f: f["line"]),
         }
-    ).withColumn("ocr_confidence_avg", F.round("_conf", 2)).drop("_present", "_cn", "_cs")
-
-
-def video_lines(frames: DataFrame, video: str = "video_id") -> DataFrame:
-    """Distinct lines per video in order of first appearance.
-
-    Copies of a line collapse before the shuffle; what is collected per video
-    is the set of different lines of its sampled frames.
-    """
-    exploded = frames.select(video, "ts", F.posexplode("lines").alias("pos", "line"))
-    first = exploded.groupBy(video, F.lower("line").alias("low")).agg(
-        F.min(F.struct("ts", "pos", "line")).alias("f")
-    )
-    return first.groupBy(video).agg(
-        F.transform(F.array_sort(F.collect_list("f")), lambda s: s["line"]).alias("lines")
-    )
+    ).withColumn("ocr_confidence_avg", F.round("_conf", 2)).drop("_present", "_cn", "_cs", "_firsts")
 
 
 def ocr_rollup(frames: DataFrame, video: str = "video_id", *, fuzzy: bool = False) -> DataFrame:
     """Per-video summary of (ts, lines, engine, confidence, presence) frames."""
-    cleaned = frame_lines(frames, fuzzy=fuzzy)
-    counts = ocr_counts(cleaned, video)
-    lines = video_lines(cleaned, video)
     kept = fuzzy_line_dedup("lines") if fuzzy else containment_dedup("lines")
-    text = lines.select(video, F.array_join(kept, " ").alias("ocr_text"))
-    joined = counts.join(text, video, "left").withColumn("ocr_text", T.text("ocr_text"))
+    joined = video_text(frame_lines(frames, fuzzy=fuzzy), video)
+    joined = joined.withColumn("ocr_text", T.text(F.array_join(kept, " "))).drop("lines")
     joined = joined.withColumns({"ocr_word_count": T.token_count("ocr_text"), "_f": _FLAGS.scan("ocr_text")})
     n = F.col("ocr_word_count")
     low = (n > 0) & (F.col("_conf") < 52)

@@ -395,7 +395,3 @@ CONTRACT_KEYS = (
     "claridad_mensaje", "fuerza_cta", "coherencia_semantica", "complejidad_sintactica", "tipo_contenido",
     "riesgo_comunicacional", "fortalezas", "debilidades", "ajustes_sugeridos", "recomendacion_llm", "justificacion",
 )
-CHAT_SYSTEM_PROMPT = (
-    "Eres un analista senior de marketing, contenido audiovisual y pauta digital. "
-    "Responde en español natural, profesional y accionable. No uses JSON."
-)

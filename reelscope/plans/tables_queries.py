@@ -22,6 +22,8 @@ from reelscope.plans.scalars_queries import engagement_sql, with_videos
 from reelscope.session import materialize, table, work_dir
 from reelscope.sources import corpus, payloads, sinks
 
+CHAT_PROMPT = "Contesta en español y explica qué cambiarías en esta publicación."
+
 # --- sources ------------------------------------------------------------------
 
 
@@ -198,7 +200,7 @@ def pairs(spark, sf):
 
 @query("chat_messages", f"WITH {PAIRS_SQL} SELECT conv_id, turn, md5(input) AS user_text, md5(output) AS assistant_text, CAST(3 AS INTEGER) AS n FROM pairs")
 def chat(spark, sf):
-    m = sinks.chat_messages(pairs(spark, sf))
+    m = sinks.chat_messages(pairs(spark, sf), CHAT_PROMPT)
     return m.select(
         "conv_id", "turn", F.md5(F.col("messages")[1]["content"]).alias("user_text"),
         F.md5(F.col("messages")[2]["content"]).alias("assistant_text"), F.size("messages").alias("n"),
@@ -222,7 +224,7 @@ def shuffle_split(spark, sf):
 @query("write_chat_jsonl", f"SELECT CASE WHEN is_val THEN 'val' ELSE 'train' END AS part, count(*) AS n FROM ({CHAT_SPLIT_SQL}) GROUP BY 1")
 def write_chat(spark, sf):
     path = f"{work_dir(spark)}/chat-{uuid.uuid4().hex}"
-    sinks.write_chat_jsonl(sinks.chat_messages(split_pairs(spark, sf)), path)
+    sinks.write_chat_jsonl(sinks.chat_messages(split_pairs(spark, sf), CHAT_PROMPT), path)
     parts = [
         spark.read.schema("messages array<struct<role:string,content:string>>").json(f"{path}/{p}").select(F.lit(p).alias("part"))
         for p in ("train", "val")

@@ -6,7 +6,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelscope import fixed_values as fv
 from reelscope.functions.text import text
 
 
@@ -23,7 +22,7 @@ def write_contract_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def chat_messages(df: DataFrame, system: str = fv.CHAT_SYSTEM_PROMPT) -> DataFrame:
+def chat_messages(df: DataFrame, system: str) -> DataFrame:
     """Adds ``messages`` (system, user, assistant) from input/output columns or their aliases."""
     have = set(df.columns)
 

@@ -84,7 +84,7 @@ def test_preferences(spark):
     assert [out[i].n_common for i in range(1, 7)] == [1, 2, 0, 1, 0, 0]
     assert out[1].prompt == "<|user|>\nhi<|end|>\n" and out[1].chosen == "<|assistant|>\nyes<|end|>\n" and out[1].usable
     assert [out[1].chosen[s.a : s.b] for s in out[1].chosen_spans] == ["yes<|end|>\n"]
-    assert [out[1].rejected[s.a : s.b] for s in out[1].rejected_spans] == ["no < |end|>\n<|end|>\n".replace("\n<", "<", 1)]
+    assert [out[1].rejected[s.a : s.b] for s in out[1].rejected_spans] == ["no < |end|><|end|>\n"]
     assert out[2].chosen == out[2].rejected == "" and not out[2].usable and out[3].rejected == ""
     assert len(out[6].chosen_spans) == 2
 
@@ -181,7 +181,6 @@ def test_trie_join_equals_all_pairs():
         seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
         fps = np.unique(np.concatenate([seeds] + [seeds ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (dense, 40), dtype=np.uint64)) for _ in range(8)]))
         root = P.linked(fps.tolist())
-        got = P.linked([])
         root_of = {f: f for f in fps.tolist()}
 
         def find(x):
@@ -192,7 +191,7 @@ def test_trie_join_equals_all_pairs():
         for a, b in simhash.trie_links(fps, None, 0, 4).tolist():
             root_of[find(a)] = find(b)
         same = lambda of: {frozenset(f for f in fps.tolist() if of(f) == r) for r in map(of, fps.tolist())}
-        assert same(find) == same(root.get) and got == {}
+        assert same(find) == same(root.get)
 
 
 def test_decontamination(spark, odd, items, monkeypatch):
@@ -272,7 +271,6 @@ def test_empty_tables(spark):
         language_id.identify(docs, language_id.train(docs, F.lit(True))), preferences.conversations_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ]
     assert [r.count() for r in results] == [0] * len(results)
-    assert all(not r.contaminated for r in [])
 
 
 def test_ten_queries_are_registered():

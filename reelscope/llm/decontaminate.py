@@ -145,12 +145,12 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def groups_of_items(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> list[list[tuple[str, list[bytes]]]]:
     """The items in groups of at most about ``limit`` bytes, each small enough to be sent to every executor.
 
-    The number of groups follows the size of the benchmark; a group is fetched by the hash of its items' texts.
+    The number of groups follows the size of the benchmark; a group is fetched by the hash of its items, id and text.
     """
     held = benchmark.select(F.col(item_id).cast("string").alias("i"), utf8(item_text).alias("t")).where("t is not null").distinct()
     total = held.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // limit))
-    return [[(r.i, folded_words(bytes(r.t))) for r in held.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()] for k in range(n)]
+    return [[(r.i, folded_words(bytes(r.t))) for r in held.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
 def decontaminate(

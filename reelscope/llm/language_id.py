@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +17,7 @@ from reelscope.llm.common import texts_in
 CELLS = 1 << 14
 #: Every byte of a word stays; all else is one space.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-ANY_LETTER = re.compile(r"[^\W\d_]")
+ANY_LETTER = regex.compile(r"\p{L}")
 #: The model is L x CELLS numbers and goes to every executor: languages beyond this raise an error, none is dropped.
 MAX_LANGUAGES = 1000
 #: Cost of a further language in units of log(number of trigrams): neighbouring trigrams overlap, so BIC's 1/2 is too low.

@@ -95,9 +95,11 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     """(word, label) of every place of a base phrase; ``joined``: words with one space around each."""
     found = []
     for phrase, label in BASE:
-        at, needle = -1, b" " + phrase + b" "
+        at, word, seen, needle = -1, 0, 0, b" " + phrase + b" "
         while (at := joined.find(needle, at + 1)) >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", seen, at)
+            seen = at
+            found.append((word, label))
     return found
 
 
@@ -112,9 +114,10 @@ def detections(joined: bytes, ordered: list[Rule]) -> list[tuple[int, int, Rule]
         if present[rule.keyword]:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
     found.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label))
-    kept: list[tuple[int, int, Rule]] = []
+    taken, kept = bytearray(len(joined)), []
     for a, b, rule in found:
-        if all(b <= c or d <= a for c, d, _ in kept):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             kept.append((a, b, rule))
     return kept
 

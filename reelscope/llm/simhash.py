@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import components, texts_in, utf8
+from reelscope.llm.common import components, if_small, texts_in, utf8
 from reelscope.session import materialize
 
 SEED = 42
@@ -90,12 +91,12 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) -> np.ndarray:
+def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int, exact: int = 0) -> np.ndarray:
     """Links among sorted distinct fingerprints within ``budget`` bits: each row (fingerprint, one of its component).
 
     Node pairs are traversed together from ``depth`` on; a pair's differing bits add up on the way down, and it is
-    dropped beyond the budget or when everything below it is one component already. ``right`` None joins left with
-    itself. What is returned is a forest, so a dense group yields as many rows as it has members, not all its pairs.
+    dropped beyond the budget, on a difference in the first ``exact`` bits, or when everything below it is one component
+    already. ``right`` None joins left with itself. What is returned is a forest, so a dense group yields as many rows as it has members, not all its pairs.
     """
     own = right is None
     a, b = Trie(left, depth), Trie(left if own else right, depth)
@@ -135,7 +136,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: i
         for p, q in ((0, 0), (1, 1), (0, 1), (1, 0)):
             ok = (ka[:, p] >= 0) & (kb[:, q] >= 0)
             if p != q:
-                ok &= gap < budget
+                ok &= (gap < budget) & (d >= exact)
                 if p == 1:
                     ok &= ~same
             parts.append((ka[ok, p], kb[ok, q], gap[ok] + np.int8(p != q)))
@@ -144,31 +145,102 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: i
     return np.stack([fps[on], fps[labels[on]]], 1) if len(on) else np.empty((0, 2), np.uint64)
 
 
+def orders(budget: int, equal: int) -> tuple[list[list[tuple[int, int, int]]], int]:
+    """Bit orders, as moves (low bit, width, new low bit), and the number of leading bits in which a pair must agree.
+
+    64 bits are cut into budget + equal blocks, so two values within the budget agree in ``equal`` blocks at least: each
+    order brings one choice of these to the front.
+    """
+    n = budget + equal
+    edges = [64 * k // n for k in range(n + 1)]
+    plans = []
+    for front in combinations(range(n), equal):
+        at, plan = 64, []
+        for k in [*front, *(k for k in range(n) if k not in front)]:
+            width = edges[k + 1] - edges[k]
+            at -= width
+            plan.append((64 - edges[k + 1], width, at))
+        plans.append(plan)
+    return plans, 64 // n * equal
+
+
+def moved(x: np.ndarray, plan: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.zeros_like(x)
+    for low, width, to in plan:
+        out |= (x >> np.uint64(low) & np.uint64((1 << width) - 1)) << np.uint64(to)
+    return out
+
+
+def moved_column(c: str, plan: list[tuple[int, int, int]]) -> Column:
+    mask = lambda width: F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    return reduce(Column.bitwiseOR, (F.shiftleft(F.shiftrightunsigned(c, low).bitwiseAND(mask(width)), to) for low, width, to in plan))
+
+
+def prefix(c: str, depth: int) -> Column:
+    """The node at a depth above the value."""
+    return F.shiftrightunsigned(c, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def node_pairs(spread: DataFrame, depth: int, exact: int, budget: int, limit: int) -> DataFrame:
+    """(t, depth, one, two, fp): the fingerprints of each pair of trie nodes that a task walks.
+
+    ``spread``: t (the bit order), fp, w (fp in that order). A node starts paired with itself. A pair that holds over
+    ``limit`` fingerprints gives way to the pairs of its descendants four levels down, as often as it takes: these are
+    distinct values, so any hot prefix falls apart in the end.
+    """
+    names = ["t", "depth", "one", "two", "fp"]
+    start = spread.withColumns({"depth": F.lit(depth), "one": prefix("w", depth)}).withColumn("two", F.col("one"))
+    heavy = materialize(start.groupBy("t", "one").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("t", "one"))
+    if heavy.isEmpty():
+        return start.select(names)
+    out = start.join(if_small(heavy), ["t", "one"], "left_anti").select(names)
+    rest = materialize(start.join(if_small(heavy), ["t", "one"], "left_semi").select("t", "fp", "w"))
+    pairs = heavy.select("t", "one", F.col("one").alias("two"))
+    while depth < 64 and not pairs.isEmpty():
+        above, depth = depth, min(64, depth + 4)
+        nodes = rest.groupBy("t", prefix("w", depth).alias("node")).agg(F.count("*").alias("n"))
+        up = F.shiftrightunsigned("node", depth - above) if above else F.lit(0).cast("long")
+        x = nodes.select("t", up.alias("one"), F.col("node").alias("x"), F.col("n").alias("nx"))
+        y = nodes.select("t", up.alias("two"), F.col("node").alias("y"), F.col("n").alias("ny"))
+        apart = F.col("x").bitwiseXOR(F.col("y"))
+        kids = pairs.join(x, ["t", "one"]).join(y, ["t", "two"]).where("one <> two or x <= y").where(F.bit_count(apart) <= budget)
+        kids = kids.where((F.shiftrightunsigned(apart, depth - exact) if depth > exact else apart) == 0)
+        held = F.col("nx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("ny"))
+        kids = materialize(kids.select("t", F.col("x").alias("one"), F.col("y").alias("two"), ((held > limit) & F.lit(depth < 64)).alias("more")))
+        sides = kids.where("not more").withColumn("node", F.explode(F.array_distinct(F.array("one", "two"))))
+        out = out.union(rest.withColumns({"node": prefix("w", depth), "depth": F.lit(depth)}).join(sides, ["t", "node"]).select(names))
+        pairs = kids.where("more").select("t", "one", "two")
+    return out
+
+
 def hamming_links(distinct: DataFrame, budget: int = 4, per_subtree: int = 16384) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints within ``budget`` bits of each other, given distinct ``fp``.
 
-    The trie's top levels are the unit of distribution: a pair of subtrees is one group, kept only if their prefixes
-    differ in no more than the budget. The prefix grows with the number of fingerprints, so a subtree stays near
-    ``per_subtree``. Fingerprints are distinct, hence copies add nothing here.
+    The trie stands in a few bit orders. In each, pairs must agree in the leading bits, and two values within the budget
+    do so in one order at least; so the top levels deal the fingerprints to tasks, a few copies of each. The prefix grows
+    with the number of fingerprints (with more blocks, hence more orders, where one block is too short), so a subtree stays
+    near ``per_subtree``; one over four times that is split. Fingerprints are distinct, hence copies add nothing here.
     """
-    n = distinct.count()
-    p = min(24, max(4, math.ceil(math.log2(max(n, 1) / per_subtree))))
-    flips = [sum(1 << x for x in c) for r in range(min(budget, p) + 1) for c in combinations(range(p), r)]
-    top = F.shiftrightunsigned("fp", 64 - p)
-    sides = distinct.withColumn("own", top).withColumn("flip", F.explode(F.lit(flips)))
-    units = sides.select("fp", "own", F.least("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("one"), F.greatest("own", F.col("own").bitwiseXOR(F.col("flip"))).alias("two"))
+    n, equal = distinct.count(), 1
+    while equal < 64 - budget and per_subtree << 64 // (budget + equal) * equal < n:
+        equal += 1
+    plans, exact = orders(budget, equal)
+    p = min(exact, max(0, math.ceil(math.log2(max(n, 1) / per_subtree))))
+    spread = distinct.select("fp", F.posexplode(F.array(*(moved_column("fp", plan) for plan in plans))).alias("t", "w"))
+    units = node_pairs(spread, p, exact, budget, 4 * per_subtree)
 
     def run(key, pdf):
-        fps, own = np.ascontiguousarray(pdf.fp.to_numpy()).view(np.uint64), pdf.own.to_numpy()
-        left, right = np.sort(fps[own == key[0]]), None if key[0] == key[1] else np.sort(fps[own == key[1]])
-        if not len(left) or right is not None and not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = trie_links(left, right, p, budget).view(np.int64)
+        t, depth, one, two = map(int, key)
+        w = np.sort(moved(np.ascontiguousarray(pdf.fp.to_numpy()).view(np.uint64), plans[t]))
+        own = (w >> np.uint64(64 - depth) if depth else np.zeros_like(w)).view(np.int64)
+        left, right = w[own == one], None if one == two else w[own == two]
+        back = [(to, width, low) for low, width, to in plans[t]]
+        found = moved(trie_links(left, right, depth, budget, exact), back).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     # the work of a group is much larger than its rows: as many tasks as there are groups, up to a limit
-    units = units.repartition(min(4096, (1 << p) * len(flips) // 2), "one", "two")
-    return units.groupBy("one", "two").applyInPandas(run, "a long, b long")
+    units = units.repartition(min(1 << 14, len(plans) << p), "t", "depth", "one", "two")
+    return units.groupBy("t", "depth", "one", "two").applyInPandas(run, "a long, b long")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:

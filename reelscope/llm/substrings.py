@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import plain_words, utf8
 
 ANCHOR = 7
-DOCS_PER_CHUNK, MAX_CHUNKS = 4096, 1 << 17
+#: A chunk, the unit of a task, holds about so many documents or bytes of text, whichever makes more chunks.
+DOCS_PER_CHUNK, BYTES_PER_CHUNK = 4096, 32 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -118,9 +119,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts lose nothing; rows of equal id, such as repeated rows, are no source for each other; a null id is after all
     others. Windows are told apart by two hashes, 128 bits.
     """
-    rows = docs.count()
-    chunks = min(MAX_CHUNKS, max(48, -(-rows // DOCS_PER_CHUNK)))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    rows, size = source.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    chunks = max(48, -(-rows // DOCS_PER_CHUNK), -(-size // BYTES_PER_CHUNK))
     source = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
     # one exchange of the texts; all three steps below read it
     source = source.repartition("chunk")

@@ -159,6 +159,8 @@ def test_license_suppression():
     assert say("This file is licensed under the GNU General Public License, version 3.") == "gnu-gpl-3"
     assert say("SPDX-License-Identifier: Apache-2.0") == "apache-2.0"
     assert say("licensed under a CC BY-SA 4.0 license") == "cc-by-sa-4.0"
+    many = "cc by nc " * 20_000 + "licensed under the MIT license " * 20_000
+    assert license_scan.scan(many.encode(), rules)[1:6] == (40_000, 0, 159_996, "cc-by-nc,mit", "cc-by-nc,mit")
     assert say("mit freundlichen Grüßen") == "" and say("All rights reserved") == "all-rights-reserved"
 
 
@@ -194,6 +196,41 @@ def test_trie_join_equals_all_pairs():
         assert same(find) == same(root.get)
 
 
+def test_hamming_links_split_hot_subtrees(spark):
+    rng = np.random.default_rng(4)
+    far = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    hot = far[0] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (5, 300), dtype=np.uint64))
+    top = np.uint64(0xABCDEF << 40) | rng.integers(0, 1 << 20, 200, dtype=np.uint64)
+    fps = np.unique(np.concatenate([far, hot, top, ~far[:5]]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(5)
+    want = P.linked(fps.tolist())
+    for per in (4, 64, 16384):
+        nx = {f: f for f in fps.tolist()}
+
+        def find(x):
+            while nx[x] != x:
+                x = nx[x]
+            return x
+
+        for r in simhash.hamming_links(df, per_subtree=per).collect():
+            a, b = r.a % (1 << 64), r.b % (1 << 64)
+            assert want[a] == want[b]
+            nx[find(a)] = find(b)
+        assert len({find(f) for f in nx}) == len(set(want.values()))
+
+
+def test_bit_orders_cover_every_pair_within_the_budget():
+    rng = np.random.default_rng(6)
+    for equal in (1, 2, 3):
+        plans, exact = simhash.orders(4, equal)
+        for _ in range(200):
+            x = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+            y = x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 4, dtype=np.uint64))
+            lead = [(simhash.moved(x, p) ^ simhash.moved(y, p))[0] >> np.uint64(64 - exact) for p in plans]
+            assert 0 in lead
+            assert all(simhash.moved(simhash.moved(x, p), [(c, w, a) for a, w, c in p]) == x for p in plans)
+
+
 def test_decontamination(spark, odd, items, monkeypatch):
     bench = [(r.item_id, r.text) for r in items.collect()]
     for limit in (8 << 20, 40):
@@ -255,6 +292,7 @@ def test_language(spark, odd):
     shares = model.infer(a + "\n" + b)[2]
     assert set(shares) == {"en", "fr"} and all(0.3 < v < 0.7 for v in shares.values())
     und = {r.doc_id: r.lang_pred for r in language_id.identify(odd, model).collect()}
+    assert all(model.infer(t)[0] == "und" for t in ("½ ² ③ 12", "_", "。")) and model.infer("ª")[0] != "und"
     assert all(und[i] == "und" for i in (0, 1, 2, 10)) and und[3] != "und"
     empty = language_id.train(docs, F.lit(False))
     assert language_id.identify(docs.limit(1), empty).first().lang_pred == "und"

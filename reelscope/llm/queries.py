@@ -151,4 +151,75 @@ SELECT conv_id, CAST(max(n_common) AS BIGINT) AS n_common,
 FROM z GROUP BY conv_id
 """
 
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_preference_format": OP2_SQL}
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM b
+), ba AS (
+  SELECT *, string_agg(word, ' ') OVER f AS ahead, count(*) OVER f AS len
+  FROM bw WINDOW f AS (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)
+), win AS (
+  SELECT DISTINCT item_id, word, ahead, len FROM ba WHERE len = 10 OR (n < 10 AND pos = 1)
+), dw AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), da AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM dw
+), found AS (
+  SELECT da.doc_id, da.pos, win.len, win.item_id FROM da JOIN win ON da.ahead = win.ahead AND win.len = 10
+  UNION ALL
+  SELECT da.doc_id, da.pos, win.len, win.item_id FROM da JOIN win ON da.word = win.word AND win.len < 10 AND starts_with(da.ahead || ' ', win.ahead || ' ')
+), far AS (
+  SELECT doc_id, pos, max(pos + len) AS till FROM found GROUP BY doc_id, pos
+), hit AS (
+  SELECT doc_id, coalesce(max(till) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) > pos AS hit FROM dw LEFT JOIN far USING (doc_id, pos)
+), h AS (
+  SELECT doc_id, count(*) FILTER (WHERE hit) AS n_hit FROM hit GROUP BY doc_id
+), i AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM found WHERE item_id IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+OP8_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), g AS (
+  SELECT *, CASE WHEN count(*) OVER f = 13 THEN string_agg(word, ' ') OVER f END AS ahead
+  FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), source AS (
+  SELECT ahead, min(doc_id) AS source FROM g WHERE ahead IS NOT NULL GROUP BY ahead
+), m AS (
+  SELECT g.doc_id, g.pos, g.word, coalesce(source.source < g.doc_id, FALSE) AS again FROM g LEFT JOIN source ON g.ahead = source.ahead
+), k AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+ORACLES = {
+    "op1_mix_sources": OP1_SQL, "op2_preference_format": OP2_SQL, "op7_suffix_automaton": OP7_SQL, "op8_cover_tree_topk": OP8_SQL,
+    "op9_de_bruijn_spans": OP9_SQL,
+}

@@ -1,9 +1,9 @@
 """License scan: ordered signature rules over normalised words.
 
-A rule is a regular expression over the words of a text, joined by one space. It is tried only where its keyword
-occurs in the text, and a text without any gate word tries none. Rules are ordered by priority; a detection inside
-another one of equal or higher priority is suppressed, and of two that merely overlap the one of higher priority (then
-the longer, then the earlier) stays.
+A rule is a regular expression over the words of a text, joined by one space. It is tried only where its keyword and a
+word that its context cannot do without occur in the text; no rule matches without them. Rules are ordered by priority; a
+detection inside another one of equal or higher priority is suppressed, and of two that merely overlap the one of higher
+priority (then the longer, then the earlier) stays.
 """
 
 from __future__ import annotations
@@ -64,14 +64,15 @@ CONTEXTS = {
     "mention": (5, 0.6, "{name} licen[cs]e"),
 }
 RESERVED = (("all-rights-reserved", b"all rights reserved", "all rights reserved", 6, 0.4), ("public-domain", b"public domain", "(?:dedicated to|released (?:in)?to|in) the public domain", 4, 0.8))
-#: No rule matches a text that has none of these.
-GATES = (b"licen", b"spdx", b"any later version", b"rights reserved", b"public domain")
+#: Words of which a match in the context holds one at least. In a notice and a grant the word licence is optional.
+NEEDS = {"tag": (b" spdx ",), "notice": (b" under ", b" by "), "grant": (b" under ",), "later": (b" any later version ",), "mention": (b" license ", b" licence ")}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keyword: bytes  # whole words, with the spaces around them
+    needs: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
@@ -85,9 +86,9 @@ def rules() -> list[Rule]:
         for version in versions:
             full = f"(?:{name}){f' (?:version |v )?{version}' if version else ''}"
             label = f"{family}-{version.replace(' ', '.')}" if version else family
-            for priority, sure, context in CONTEXTS.values():
-                made.append(Rule(label, keyword, re.compile(f"(?<= ){context.format(name=full)}(?= )".encode()), priority, sure))
-    made += [Rule(label, key, re.compile(f"(?<= ){text}(?= )".encode()), rank, sure) for label, key, text, rank, sure in RESERVED]
+            for kind, (priority, sure, context) in CONTEXTS.items():
+                made.append(Rule(label, b" " + keyword + b" ", NEEDS[kind], re.compile(f"(?<= ){context.format(name=full)}(?= )".encode()), priority, sure))
+    made += [Rule(label, b" " + key + b" ", (b" " + key + b" ",), re.compile(f"(?<= ){text}(?= )".encode()), rank, sure) for label, key, text, rank, sure in RESERVED]
     return sorted(made, key=lambda r: r.priority)
 
 
@@ -105,13 +106,15 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 def detections(joined: bytes, ordered: list[Rule]) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) that survive suppression, in the order of the rules."""
-    if not any(g in joined for g in GATES):
-        return []
     present, found = {}, []
+
+    def holds(words):
+        if words not in present:
+            present[words] = words in joined
+        return present[words]
+
     for rule in ordered:
-        if rule.keyword not in present:
-            present[rule.keyword] = rule.keyword in joined
-        if present[rule.keyword]:
+        if holds(rule.keyword) and any(map(holds, rule.needs)):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
     found.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label))
     taken, kept = bytearray(len(joined)), []

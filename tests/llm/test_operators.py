@@ -164,6 +164,22 @@ def test_license_suppression():
     assert say("mit freundlichen Grüßen") == "" and say("All rights reserved") == "all-rights-reserved"
 
 
+def test_license_rules_need_no_word_licence(spark):
+    rules = license_scan.rules()
+    label = lambda t: license_scan.scan(t.encode(), rules)[5:]
+    assert label("Released under CC BY-SA 4.0") == ("cc-by-sa-4.0", 0.9) and label("distributed under the GNU GPL 3.0") == ("gpl-3.0", 0.9)
+    assert label("this software is distributed under the terms of the BSD") == ("bsd", 0.95) and label("available under MIT") == ("mit", 0.9)
+    assert label("this file is governed by the Apache 2.0") == ("apache-2.0", 0.95) and label("limit, submit under miscellaneous") == ("", 0.0)
+    # every rule on its own matches, and the filters by words drop no match of any rule
+    texts = [f"{a} {name} {v} {b}" for a in ("released under the", "this work is covered by", "spdx license identifier", "") for b in ("", "or any later version", "licence", "x") for name in ("mit", "gnu gpl", "lgpl", "affero general public license", "bsd 3 clause", "simplified bsd", "isc", "zlib libpng", "wtfpl", "creative commons cc0 1 0 universal", "cc by nc sa", "apache software", "unlicense", "proprietary", "sil open font license", "european union public licence", "creative commons attribution share alike") for v in ("", "2", "version 3 0", "v 1 1")]
+    texts += [t.replace("licen", "") for t in texts] + ["all rights reserved", "released to the public domain", "mit by under spdx", "spdx"] + [r.text for r in real(spark).collect() if len(r.text) < 3000]
+    for t in texts:
+        joined = b" " + b" ".join(license_scan.folded_words(t.encode())) + b" "
+        want = [r for r in rules if r.pattern.search(joined)]
+        assert all(r.keyword in joined and any(n in joined for n in r.needs) for r in want)
+        assert bool(license_scan.detections(joined, rules)) == bool(want)
+
+
 def test_simhash(spark, odd):
     rng = random.Random(5)
     near = [(i, " ".join(w if rng.random() > 0.02 else "zz" for w in P.plain(words(400, 7)))) for i in range(300)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm import decontaminate as de
-from reelscope.llm import language_id, license_scan, lm_score, mixing, preferences, sharding, simhash, substrings, topk
+from reelscope.llm import alignment, centroids, language_id, license_scan, lm_score, mixing, preferences, sharding, simhash, substrings, topk, toxicity
 from reelscope.llm.common import utf8
 from reelscope.session import table
 
@@ -81,11 +81,27 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("evidence.doc_id").alias("evidence"))
+
+
+def op12_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_preference_format, op3_masked_likelihood, op4_sampled_splitters, op5_license_scan, op6_simhash_trie,
-        op7_suffix_automaton, op8_cover_tree_topk, op9_de_bruijn_spans, op10_language_mixture,
+        op7_suffix_automaton, op8_cover_tree_topk, op9_de_bruijn_spans, op10_language_mixture, op11_nearest_examples, op12_pca_centroids,
+        op13_align_tokens,
     )
 }
 
@@ -219,7 +235,33 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) A
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
 
+_DIST = "CAST(list_inner_product(v.x, v.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(v.x, c.x) AS BIGINT)"
+
+
+def _round(n: int) -> str:
+    """Clusters of every vector around the centroids c<n>, and the centroids after it."""
+    return f"""a{n} AS MATERIALIZED (
+  SELECT row, CAST(arg_min(k, (d, k)) AS INTEGER) AS cluster, min(d) AS distance FROM (SELECT v.row, c.k, {_DIST} AS d FROM v CROSS JOIN c{n} c) GROUP BY row
+), p{n} AS (
+  SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS pos FROM v JOIN a{n} USING (row)) GROUP BY cluster, pos
+), c{n + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT cluster, list(CAST(floor(s / n) AS DOUBLE) ORDER BY pos) AS x FROM p{n} GROUP BY cluster) m ON m.cluster = c.k
+)"""
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 16)
+), {_round(0)}, {_round(1)}, {_round(2)}, {_round(3)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a3 JOIN v USING (row) JOIN c3 c ON c.k = a3.cluster
+"""
+
 ORACLES = {
     "op1_mix_sources": OP1_SQL, "op2_preference_format": OP2_SQL, "op7_suffix_automaton": OP7_SQL, "op8_cover_tree_topk": OP8_SQL,
-    "op9_de_bruijn_spans": OP9_SQL,
+    "op9_de_bruijn_spans": OP9_SQL, "op12_pca_centroids": OP12_SQL,
 }

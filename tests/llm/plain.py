@@ -110,3 +110,61 @@ def mix(rows, weights=(5, 2, 1), most=3):
         if not over:
             return {s: full.get(s, w[s] * share) for s in order}
         full |= {s: most * size[s] for s in over}
+
+
+def align(docs, byte_path="/opt/tokenizers/byte_bpe_50k.json", piece_path="/opt/tokenizers/piece_bpe_32k.model"):
+    """Rows of the alignment contract; groups cut, and links listed, one by one."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(byte_path)
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in printable}
+    byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    links_of, groups_of = [], []
+    for _, t in docs:
+        groups, want = [], b" " + (t or "").encode()
+        a = [(i, bytes(byte[c] for c in one.id_to_token(i))) for i in one.encode(" " + t, add_special_tokens=False).ids] if t else []
+        b = [(i, bytes([int(p[3:5], 16)]) if two.is_byte(i) else p.replace("▁", " ").encode()) for i in (two.encode(t) if t else []) for p in [two.id_to_piece(i)]]
+        if t and b"".join(x for _, x in a) == want == b"".join(x for _, x in b):
+            ends = lambda s: np.cumsum([len(x) for _, x in s]).tolist()
+            cuts = sorted(set(ends(a)) & set(ends(b)))
+            groups = [([], []) for _ in cuts]
+            for side, s in enumerate((a, b)):
+                for (i, _), e in zip(s, ends(s), strict=True):
+                    groups[next(k for k, c in enumerate(cuts) if c >= e)][side].append(i)
+        groups_of.append(groups)
+        links_of.append([(x, y) for g in groups for x in g[0] for y in g[1]])
+    count, best = {}, {}
+    for links in links_of:
+        for pair in set(links):
+            count[pair] = count.get(pair, 0) + 1
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for (d, _), groups, links in zip(docs, groups_of, links_of, strict=True):
+        text = ";".join("|".join(",".join(map(str, s)) for s in g) for g in groups)
+        out.append((
+            d, sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), len(links), sum(count[p] == best[p[0]] for p in links),
+            sum(count[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if groups else "",
+        ))
+    return out
+
+
+def clusters(rows, k=16, rounds=3):
+    """Rows of the clustering contract in Python integers."""
+    kept = [(i, [int(np.floor(64 * float(c))) for c in x]) for i, x in rows if x is not None and len(x) == 64 and all(c is not None and np.isfinite(c) for c in x)]
+    start = sorted(kept, key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))[:k]
+    cents = [v for _, v in start]
+    for turn in range(rounds + 1):
+        where = [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(cents)) for _, v in kept]
+        if turn == rounds:
+            break
+        for j in range(len(cents)):
+            mine = [v for (_, v), (_, c) in zip(kept, where, strict=True) if c == j]
+            if mine:
+                cents[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    of = [sum(d for d, c in where if c == j) for j in range(len(cents))]
+    return [(i, c, d, of[c], sum(of), hashlib.sha256(",".join(map(str, cents[c])).encode()).hexdigest()) for (i, _), (d, c) in zip(kept, where, strict=True)]

@@ -91,3 +91,17 @@ def components(links: DataFrame) -> DataFrame:
 def if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """The table marked for broadcast if it has no more than so many (narrow) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str, part: int = 1000) -> DataFrame:
+    """Rows with the facts of their key; ``facts`` has one row for each key and says how many rows hold it.
+
+    A key of more than one in ``part`` rows is joined by broadcast: there are fewer than ``part`` of them. The others are
+    shuffled.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * part > total
+    hot = F.broadcast(facts.where(often))
+    names = [*rows.columns, *(c for c in facts.columns if c not in (key, count))]
+    alike = rows.join(hot, key).select(*names)
+    return alike.unionByName(rows.join(hot.select(key), key, "left_anti").join(facts.where(~often), key).select(*names))

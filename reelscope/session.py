@@ -39,8 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the intermediates of this process. Call it once the results built on them are written."""
-    while _STAGES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+def stages_made() -> list[str]:
+    """Folders of the intermediates of this process that are not deleted yet, oldest first."""
+    return list(_STAGES)
+
+
+def drop_stages(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete intermediates of this process, all by default. Call it once the results built on them are written."""
+    for name in stages_made() if paths is None else [p for p in paths if p in _STAGES]:
+        _STAGES.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -473,7 +473,7 @@ def batch_all(spark, sf):
 
 @query(
     "video_with_signals",
-    f"""WITH {V.VIDEOS_SQL}, {V.COMMENTS_SQL}, c AS (SELECT video_id, least(count(*), 100) AS total FROM comments WHERE {s.strip('text')} <> '' GROUP BY 1)
+    f"""WITH {V.VIDEOS_SQL}, {V.COMMENTS_SQL}, c AS (SELECT video_id, count(*) AS total FROM comments WHERE {s.strip('text')} <> '' GROUP BY 1)
         SELECT video_id, coalesce(total, 0) AS total, total IS NULL AS silent FROM videos LEFT JOIN c USING (video_id)""",
 )
 def signals(spark, sf):

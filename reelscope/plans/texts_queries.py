@@ -362,7 +362,7 @@ counts AS (SELECT 'hook' AS kind, term, count(*) AS n FROM best JOIN b ON contai
 
 @query("pattern_terms", PATTERN_SQL + " SELECT kind, term, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS rank FROM counts) WHERE rank <= 20")
 def pattern_terms(spark, sf):
-    return Q.pattern_terms(script_features(spark, sf))
+    return Q.pattern_terms(script_features(spark, sf), top=150)
 
 
 @query(

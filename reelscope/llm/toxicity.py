@@ -26,6 +26,8 @@ EXAMPLES = 2048
 #: Grams that describe a text, at most, by chi-squared; and the least chi-squared of one (by chance: one gram in a million).
 FEATURES, LEAST_CHI2 = 4096, 24.0
 BLOCK, NEIGHBOURS = 32, 15
+#: Blocks that are scored at a time, in falling order of their bounds.
+TOGETHER = 8
 #: Distance at which a vote counts half, and the pull of the base rate, in examples, on a step of the calibration.
 HALF, PULL = 0.3, 2.0
 
@@ -54,6 +56,10 @@ class Features:
             self.memo[word] = found
         return found
 
+    def present(self, text: bytes | None) -> set[int]:
+        """The chosen grams that stand in the text."""
+        return set().union(*map(self.of_word, set(folded_words(text))))
+
     def counts(self, text: bytes | None) -> Counter:
         """How often each chosen gram stands in the text."""
         out: Counter = Counter()
@@ -97,19 +103,29 @@ class BlockMaxIndex:
         q = np.repeat(w, many)
         blocks = self.of_block[runs]
         bound = np.bincount(blocks, q * self.highest[runs], self.n_blocks)
-        by_block = blocks.argsort(kind="stable")
-        ends = np.bincount(blocks, minlength=self.n_blocks).cumsum()
+        by_block, size = blocks.argsort(kind="stable"), np.bincount(blocks, minlength=self.n_blocks)
+        begin = size.cumsum() - size
+        order = np.lexsort((np.arange(self.n_blocks), -bound))
+        order = order[bound[order] > 0]
         found: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(self.n_blocks), -bound)).tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < found[-1][0] - 1e-9:
-                break
-            mine = by_block[ends[b - 1] if b else 0 : ends[b]]
+        for i in range(0, len(order), TOGETHER):
+            some = order[i : i + TOGETHER]
+            if len(found) == k:
+                some = some[bound[some] >= found[-1][0] - 1e-9]
+                if not len(some):
+                    break
+            mine = by_block[spread(begin[some], size[some])]
             r = runs[mine]
             many = self.start[r + 1] - self.start[r]
             at = spread(self.start[r], many)
-            scores = np.bincount(self.example[at] - b * self.block, np.repeat(q[mine], many) * self.weight[at], self.block).round(12)
+            scores = np.bincount(self.example[at], np.repeat(q[mine], many) * self.weight[at]).round(12)
             on = np.flatnonzero(scores > 0)
-            found = sorted([*found, *((s, e) for s, e in zip(scores[on].tolist(), (on + b * self.block).tolist(), strict=True) if e != without)], key=lambda x: (-x[0], x[1]))[:k]
+            on = on[on != without]
+            s = scores[on]
+            if len(on) > k:
+                good = s >= np.partition(s, -k)[-k]
+                on, s = on[good], s[good]
+            found = sorted([*found, *zip(s.tolist(), on.tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
         return found
 
 
@@ -220,7 +236,7 @@ def document_frequencies(docs: DataFrame, text_col: str, chosen: list[bytes]) ->
         for b in batches:
             total[-1] += b.num_rows
             for text in b.column(0).to_pylist():
-                total[list(features.counts(text))] += 1
+                total[list(features.present(text))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["f", "n"])
 
     rows = texts_in(docs).select(utf8(text_col).alias("t")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()

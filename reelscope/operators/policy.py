@@ -10,8 +10,7 @@ from reelscope.functions import text as T
 from reelscope.functions.numeric import col, lookup
 from reelscope.functions.terms import TermIndex, sql_text
 from reelscope.operators import messages as msg
-
-MAX_LEXICON_ROWS = 20_000
+from reelscope.operators.substring_join import substring_join
 
 
 def normalize_policy_text(value) -> Column:
@@ -20,19 +19,14 @@ def normalize_policy_text(value) -> Column:
     return F.trim(F.regexp_replace(t, f"[{T.SPACE}]+", " "))
 
 
-def lexicon_from_table(lexicon: DataFrame, category: str = "category", term: str = "term", limit: int = MAX_LEXICON_ROWS) -> dict:
-    """Word lists from a (category, term) table; refuses tables that are not a lexicon by size."""
-    rows = lexicon.select(category, term).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} terms: not a lexicon")
-    out: dict[str, list[str]] = {}
-    for c, t in sorted(rows):
-        out.setdefault(c, []).append(t)
-    return out
-
-
 def lexicon_match(df: DataFrame, key: str, text, lexicon=fv.POLICY_TERMS) -> DataFrame:
-    """Long table (key, category, term) of every lexicon entry contained in the text."""
+    """Long table (key, category, term) of every lexicon entry contained in the text.
+
+    The lexicon is a dict of word lists or a table (category, term) of any size, whose repeated rows count once.
+    """
+    if isinstance(lexicon, DataFrame):
+        entries = lexicon.select("category", "term").distinct()
+        return substring_join(df.select(key, col(text).alias("_body")), key, "_body", entries, "term")
     index = TermIndex(lexicon)
     entries = [(i, c, t) for c, terms in index.lists.items() for t in terms for i in [index.terms.index(t)]]
     values = ",".join(f"({i}, {sql_text(c)}, {sql_text(t)})" for i, c, t in entries)

@@ -21,6 +21,7 @@ from reelscope.plans.scalars_queries import (
     with_videos,
 )
 from reelscope.plans.tables_queries import LENGTH_BONUS, POWER_CORE
+from reelscope.session import table
 
 ALL_TEXT = "title || ' ' || description || ' ' || transcript_text || ' ' || ocr_text"
 
@@ -171,6 +172,22 @@ def lexicon_match(spark, sf):
     return policy_hits(spark, sf)[1]
 
 
+PHRASES = "[a-z]+ [a-z]+"
+
+
+@query(
+    "lexicon_match_table",
+    f"""WITH docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS video_id, {POLICY_TEXT.replace('{t}', 'text')} AS body FROM documents),
+    lex AS MATERIALIZED (SELECT DISTINCT CAST(item_id AS VARCHAR) AS category, unnest(regexp_extract_all(lower(text), '{PHRASES}')) AS term FROM benchmark)
+    SELECT video_id, category, term FROM docs JOIN lex ON contains(body, term)""",
+)
+def lexicon_match_table(spark, sf):
+    """The lexicon is a table: the two-word phrases of the test items."""
+    d = V.documents(spark, sf).select(F.col("doc_id").cast("string").alias("video_id"), P.normalize_policy_text("text").alias("body"))
+    phrases = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(PHRASES), F.lit(0))).alias("term")
+    return P.lexicon_match(d, "video_id", "body", table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("category"), phrases))
+
+
 @query("docs_without_hits", f"WITH {HITS_SQL} SELECT video_id FROM docs WHERE video_id NOT IN (SELECT video_id FROM hits)")
 def without_hits(spark, sf):
     d, hits = policy_hits(spark, sf)

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from random import Random
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model, PipelineModel, Transformer
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LinearSVC,
+    LinearSVCModel,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     IDF,
@@ -30,7 +38,16 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,13 +183,21 @@ def assemble(df: DataFrame, *, text_options: dict | None = None, robust: bool =
     ])
 
 
-class CalibratedSvc:
+class CalibratedSvc(Model, MLReadable, MLWritable):
     """Mean of linear SVMs, each calibrated by a sigmoid on its held-out fold."""
 
-    def __init__(self, members):
-        self.members = members
+    def __init__(self, members=()):
+        super().__init__()
+        self.members = list(members)
+
+    def write(self):
+        return CalibratedSvcWriter(self)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    @classmethod
+    def read(cls):
+        return CalibratedSvcReader()
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         out, parts = df, []
         for i, (svc, sigmoid) in enumerate(self.members):
             margin = vector_to_array(F.col("_raw"))[1]
@@ -190,6 +215,30 @@ class CalibratedSvc:
         ).drop("_mean")
 
 
+class CalibratedSvcWriter(MLWriter):
+    """A folder for each member's machine and sigmoid, numbered, beside the metadata."""
+
+    def __init__(self, model: CalibratedSvc):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        members = self.model.members
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, {"members": len(members)})
+        for i, (svc, sigmoid) in enumerate(members):
+            svc.save(f"{path}/member-{i}/svc")
+            sigmoid.save(f"{path}/member-{i}/sigmoid")
+
+
+class CalibratedSvcReader(MLReader):
+    def load(self, path: str) -> CalibratedSvc:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        parts = (f"{path}/member-{i}" for i in range(meta["members"]))
+        model = CalibratedSvc([(LinearSVCModel.load(f"{p}/svc"), LogisticRegressionModel.load(f"{p}/sigmoid")) for p in parts])
+        model._resetUid(meta["uid"])
+        return model
+
+
 def linear_svc_calibrated(df: DataFrame, *, key: str, label: str = "label", weight: str = "weight", folds: int = 3, c: float = 1.0, max_iter: int = 100) -> CalibratedSvc:
     folded = S.kfold_stratified(df, key, label, folds)
     n = df.count()
@@ -228,10 +277,10 @@ def gbt_classifier(df: DataFrame, *, key: str, label="label", iterations: int =
     ).fit(split)
 
 
-def predictions(model, df: DataFrame, name: str, *, key: str, label: str = "label") -> DataFrame:
-    """(model, key, y, pred, proba) of one fitted classifier."""
+def predictions(model, df: DataFrame, name: str, *, key: str, label: str = "label", keep=()) -> DataFrame:
+    """(model, key, y, pred, proba) of one fitted classifier, and the columns ``keep``."""
     return model.transform(df).select(
-        F.lit(name).alias("model"), key, F.col(label).cast("int").alias("y"),
+        F.lit(name).alias("model"), key, *keep, F.col(label).cast("int").alias("y"),
         F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("proba"),
     )
 
@@ -427,29 +476,29 @@ def linear_attribution(df: DataFrame, coefficients, *, background: DataFrame | N
 
 
 def permutation_importance(df: DataFrame, score, columns, *, key: str, repeats: int = 5, seed=42) -> DataFrame:
-    """F1 drop per column when its values are dealt to other rows.
+    """Mean F1 drop per numeric column when its values are dealt to other rows, over all columns and repeats in one pass.
 
-    ``score`` maps a table to (y, pred) rows.  Values move between rows by
-    joining two exact hash ranks, so no row order is needed.
+    ``score`` maps a table to rows with y and pred and hands the columns ``feature`` and ``run`` through. Rows stand in a
+    hash order; repeat r gives each row the values of the row so many places further on, so one join by place serves all
+    columns, and the copies of a row for each column are made after it. Null keys are ordered like others; a table of
+    fewer than two rows has nothing to deal.
     """
-    def f1(table):
-        return E.confusion(score(table)).select("f1")
-
-    base = materialize(df)
-    reference = hash_rank(base, hash_order(key, f"{seed}base"), F.lit("all"), "_to")
-    runs = []
-    for c in columns:
-        for r in range(repeats):
-            source = hash_rank(base.select(key, c), hash_order(key, f"{seed}{c}{r}"), F.lit("all"), "_from").select(
-                F.col("_from").alias("_to"), F.col(c).alias("_moved")
-            )
-            shuffled = reference.join(source, "_to").withColumn(c, F.col("_moved")).drop("_moved", "_to")
-            runs.append(f1(shuffled).select(F.lit(c).alias("feature"), "f1"))
-    per_run = reduce(lambda a, b: a.unionByName(b), runs)
-    start = f1(base)
-    return per_run.groupBy("feature").agg(F.avg("f1").alias("_f1")).select(
-        "feature", (start.scalar() - F.col("_f1")).alias("importance")
-    )
+    ranked = materialize(hash_rank(df, hash_order(key, f"{seed}base"), F.lit("all"), "_at"))
+    first, n = ranked.agg(F.min("_at"), F.count("*")).first()
+    if n < 2:
+        return df.sparkSession.createDataFrame([(c, 0.0) for c in columns], "feature string, importance double")
+    deal = Random(f"{seed}-{n}")
+    shifts = [deal.randrange(1, n) for _ in range(repeats)]
+    runs = F.array(*(F.struct(F.lit(r).alias("run"), F.lit(d).cast("long").alias("shift")) for r, d in enumerate(shifts)))
+    values = ranked.select(F.col("_at").alias("_from"), F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("_moved"))
+    rows = ranked.withColumn("_run", F.explode(runs)).withColumn("_from", F.pmod(F.col("_at") - first + F.col("_run.shift"), F.lit(n)) + first)
+    dealt = rows.join(values, "_from").withColumns({"run": F.col("_run.run"), "feature": F.explode(F.array(*map(F.lit, columns)))})
+    moved = {c: F.when(F.col("feature") == c, F.col(f"_moved.{c}")).otherwise(F.col(c).cast("double")) for c in columns}
+    scored = score(dealt.withColumns(moved).drop("_at", "_from", "_run", "_moved"))
+    plain = score(ranked.drop("_at").withColumns({"run": F.lit(-1), "feature": F.lit("")}))
+    f1 = materialize(E.confusion(scored.unionByName(plain), ("feature", "run")).select("feature", "run", "f1"))
+    start = f1.where("run = -1").select("f1")
+    return f1.where("run >= 0").groupBy("feature").agg((start.scalar() - F.avg("f1")).alias("importance"))
 
 
 def normal_of(key: str, salt) -> Column:

@@ -128,6 +128,20 @@ def save_and_load(spark, sf):
     return back.transform(d).groupBy("category_id").agg(F.count("*").alias("n"))
 
 
+@query("train_save_load_score")
+def train_save_load_score(spark, sf):
+    """All classifiers compared, the winner saved with its features and its rank table, loaded and applied to every video."""
+    from pyspark.ml import PipelineModel
+
+    from reelscope.operators.decision import score_videos
+
+    best, comparison, fitted, features, _ = M.train_all(training(spark, sf))
+    path = f"{work_dir(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(PipelineModel([*features.stages, fitted[best]]), path, comparison)
+    out = score_videos(corpus_table(spark, sf), sinks.load_model(spark, path))
+    return out.select("video_id", "probability", "level", "model_available", F.lit(best).alias("model"))
+
+
 @query("cross_val_f1")
 def cross_val(spark, sf):
     return M.cross_val_f1(training(spark, sf), {"logistic_regression": M.logistic_regression}, key="video_id", target=fv.TARGET)
@@ -214,7 +228,8 @@ def dense_model(spark, sf):
     model = M.logistic_regression(E.balanced_weights(prepared(train), "label"))
 
     def score(t):
-        return M.predictions(model, prepared(t), "m", key="video_id").select("y", "pred")
+        keep = [c for c in ("feature", "run") if c in t.columns]
+        return M.predictions(model, prepared(t), "m", key="video_id", keep=keep).select("y", "pred", *keep)
 
     return train, test, score
 
@@ -222,7 +237,7 @@ def dense_model(spark, sf):
 @query("permutation_importance")
 def permutation(spark, sf):
     _, test, score = dense_model(spark, sf)
-    return M.permutation_importance(test, score, ("title_len", "text_total_word_count"), key="video_id")
+    return M.permutation_importance(test, score, fv.NUMERIC_FEATURES, key="video_id")
 
 
 @query("noise_robustness")

@@ -95,9 +95,15 @@ def parse_transcript(value: Column) -> Column:
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file per document: (video_id = file stem, transcript); empty documents are dropped."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    """One JSON file per document: (video_id, transcript); empty and unreadable documents are dropped.
+
+    The id is the file's stem, or the folder's where files lie in folders ``video_id=...``, as a partitioned write leaves them.
+    """
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder)
+    path = F.col("_metadata.file_path")
+    dealt = F.url_decode(F.regexp_extract(path, r"/video_id=([^/]*)/[^/]*$", 1))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return files.select(stem.alias("video_id"), parse_transcript(F.col("value")).alias("transcript")).where(
+    name = F.when(dealt != "", dealt).otherwise(stem)
+    return files.select(name.alias("video_id"), parse_transcript(F.trim(F.col("value"))).alias("transcript")).where(
         F.col("transcript") != ""
     )

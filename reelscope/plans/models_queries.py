@@ -113,8 +113,7 @@ def gbt(spark, sf):
 
 @query("train_all")
 def train_all(spark, sf):
-    builders = M.model_builders("video_id", light=True)
-    _, comparison, *_ = M.train_all(training(spark, sf), builders=builders)
+    _, comparison, *_ = M.train_all(training(spark, sf))
     return comparison
 
 

@@ -12,6 +12,7 @@ SOME = (
     "word_count", "lexicon_flags", "relevance_tokens", "engagement", "frame_timestamps", "corpus_features", "policy_risk", "comment_score",
     "top_words", "script_quality", "dedup_latest", "stratified_split", "profile_stats", "organic_score_label", "roc_auc", "group_metrics",
     "psi", "frame_motion", "channel_reach", "hybrid_score", "dynamic_cpm", "final_action",
+    "read_transcripts", "pattern_terms", "video_with_signals",
 )
 ORACLES = contract.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SOME

@@ -50,15 +50,19 @@ def organic_score_label(df: DataFrame, percentile: float = 0.70, weights=fv.LABE
     )
 
 
-def performance_tercile(df: DataFrame, *, skip="skip_rate", full="full_watch_rate", log_views="log_viewCount") -> DataFrame:
-    """Performance score, right-closed tercile label and the binary upper-tercile label."""
+def performance_tercile(df: DataFrame, *, skip="skip_rate", full="full_watch_rate", log_views="log_viewCount", digits: int | None = None) -> DataFrame:
+    """Performance score, right-closed tercile label and the binary upper-tercile label.
+
+    With ``digits`` the score is rounded before the cuts are taken, so that equal scores whose last bits differ share a side.
+    """
     top = df.agg(F.max(log_views).alias("m"))
-    scored = with_scalars(df, top, "_m").withColumn(
-        "perf_score",
+    score = (
         (F.lit(1.0) - clip(F.col(skip), 0.0, 1.0)) * 0.40
         + clip(F.col(full), 0.0, 1.0) * 0.40
-        + F.col(log_views) / F.col("_m.m") * 0.20,
-    ).drop("_m")
+        + F.col(log_views) / F.col("_m.m") * 0.20
+    )
+    score = score if digits is None else F.round(score, digits)
+    scored = with_scalars(df, top, "_m").withColumn("perf_score", score).drop("_m")
     q = quantile_row(
         exact_quantiles(scored, ["perf_score"], [0.333, 0.666]),
         {"p33": ("perf_score", 0.333), "p66": ("perf_score", 0.666)},

@@ -94,16 +94,20 @@ def parse_transcript(value: Column) -> Column:
     return F.when(valid, T.clean(text)).otherwise(F.lit(""))
 
 
-def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file per document: (video_id, transcript); empty and unreadable documents are dropped.
+def read_transcripts(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """JSON transcripts of a folder: (video_id, transcript); empty and unreadable documents are dropped.
 
-    The id is the file's stem, or the folder's where files lie in folders ``video_id=...``, as a partitioned write leaves them.
+    One document a file: the id is the file's stem, or the folder's where files lie in folders ``video_id=...``, as a
+    partitioned write leaves them. With ``lines`` a file holds any number of documents, an object with a ``video_id`` on
+    each line, and is split among tasks: millions of documents then cost no file each to create, list and open.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder)
-    path = F.col("_metadata.file_path")
-    dealt = F.url_decode(F.regexp_extract(path, r"/video_id=([^/]*)/[^/]*$", 1))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    name = F.when(dealt != "", dealt).otherwise(stem)
-    return files.select(name.alias("video_id"), parse_transcript(F.trim(F.col("value"))).alias("transcript")).where(
-        F.col("transcript") != ""
-    )
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    if lines:
+        docs = files.text(folder).select(F.get_json_object("value", "$.video_id").alias("video_id"), "value")
+    else:
+        path = F.col("_metadata.file_path")
+        dealt = F.url_decode(F.regexp_extract(path, r"/video_id=([^/]*)/[^/]*$", 1))
+        stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+        name = F.when(dealt != "", dealt).otherwise(stem)
+        docs = files.option("wholetext", True).text(folder).select(name.alias("video_id"), "value")
+    return docs.select("video_id", parse_transcript(F.trim("value")).alias("transcript")).where(F.col("transcript") != "")

@@ -18,8 +18,8 @@ _FLAGS = TermIndex(
 
 def frame_lines(frames: DataFrame, *, fuzzy: bool = False) -> DataFrame:
     """Cleaned and de-duplicated lines of every frame (in the row, no shuffle)."""
-    kept = clean_lines("lines")
-    return frames.withColumn("lines", fuzzy_line_dedup(kept) if fuzzy else containment_dedup(kept))
+    cleaned = frames.withColumn("lines", clean_lines("lines"))
+    return cleaned.withColumn("lines", fuzzy_line_dedup("lines") if fuzzy else containment_dedup("lines"))
 
 
 def density_class(n_words: Column) -> Column:

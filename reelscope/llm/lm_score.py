@@ -3,10 +3,15 @@
 Tokens are the most frequent words of the corpus; other words share hashed ids. A window has finitely many contexts, so all
 windows of the corpus are counted in Spark, the network is fitted in numpy on the counts of every context (the exact
 gradient over the whole corpus, whatever its size), and its log-probabilities are laid out once for all contexts.
+
+A word among those that share an id has, given the id, its share of the id's tokens. These shares come from a Spark table of
+all different words of the corpus with their counts, which grows with it: P(word | neighbours) = P(id | neighbours) *
+P(word | id), a distribution over all words. The commonest words are sent along with the tasks, all others joined by word.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -16,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm.common import folded_words, texts_in, utf8
+from reelscope.session import materialize
 
 #: Token ids: 0 stands before and after a text, 1 to RARE for all other words by hash, then the vocabulary.
 TOKENS, RARE, HIDDEN, STEPS, RATE = 96, 15, 32, 150, 0.05
 #: Distinct words that a task holds before it hands on its counts.
 HELD = 500_000
+#: So many of the commonest words, of SENT_BYTES bytes each at most, go to every task; the others are joined.
+SENT, SENT_BYTES = 50_000, 64
 
 
 class Tokens(dict):
@@ -45,8 +53,8 @@ class Tokens(dict):
         return (x[:-2] * TOKENS + x[2:]) * TOKENS + x[1:-1]
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", words: int = TOKENS - RARE - 1) -> list[bytes]:
-    """The most frequent words of all texts, ties to the smaller word. Tasks count first; only their counts are shuffled."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of every different word of all texts. Tasks count first; only their counts are shuffled."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -61,8 +69,24 @@ def vocabulary(docs: DataFrame, text_col: str = "text", words: int = TOKENS - RA
     def rows(counts):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    top = texts_in(docs).select(utf8(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in top.orderBy(F.desc("n"), "word").limit(words).collect()]
+    return texts_in(docs).select(utf8(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, words: int = TOKENS - RARE - 1) -> list[bytes]:
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", words: int = TOKENS - RARE - 1) -> list[bytes]:
+    """The most frequent words of all texts, ties to the smaller word."""
+    return most_frequent(word_counts(docs, text_col), words)
+
+
+def word_shares(counts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(word, n, share): log of a word's share of the tokens of its id, for every word outside the vocabulary."""
+    rare = counts.where(~F.col("word").isin(words)) if words else counts
+    rare = rare.withColumn("id", 1 + F.crc32("word") % RARE)
+    total = F.broadcast(rare.groupBy("id").agg(F.sum("n").alias("total")))  # RARE rows at most
+    return rare.join(total, "id").select("word", "n", (F.log("n") - F.log("total")).alias("share"))
 
 
 def window_counts(docs: DataFrame, words: list[bytes], text_col: str = "text") -> np.ndarray:
@@ -128,24 +152,46 @@ class WindowNetwork:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token): the summed log-probability of each token given both neighbours.
+    """(doc_id, n_tokens, log_likelihood, word_log_likelihood, per_token): log-probabilities given both neighbours.
 
-    The network is trained on all documents of the table. Null and empty texts have no tokens, log-likelihood 0 and a null
-    per_token; repeated rows score alike; an empty table gives no rows. Whole texts are read, three times.
+    log_likelihood sums those of the tokens' ids, word_log_likelihood those of the words themselves, and per_token is the
+    latter over n_tokens. The network is trained on all documents of the table. Null and empty texts have no tokens, sums 0
+    and a null per_token; repeated rows score alike; an empty table gives no rows. Whole texts are read, three times. Words
+    that were not sent along meet their shares by word, once for each document that holds them.
     """
-    words = vocabulary(docs, text_col)
+    counts = materialize(word_counts(docs, text_col))
+    words = most_frequent(counts)
     network = WindowNetwork()
     network.fit(window_counts(docs, words, text_col))
     table = network.forward()[1].astype(np.float32).ravel()
-    shared = docs.sparkSession.sparkContext.broadcast((words, table))  # TOKENS cubed floats
+    shares = word_shares(counts, words)
+    sent = shares.where(F.length("word") <= SENT_BYTES).orderBy(F.desc("n"), "word").limit(SENT).toArrow()
+    known = dict(zip(sent.column("word").to_pylist(), sent.column("share").to_pylist(), strict=True))
+    known.update((w, 0.0) for w in words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, table, known))  # TOKENS cubed floats, SENT words at most
 
     def run(batches):
-        words, logp = shared.value
+        words, logp, known = shared.value
         tokens = Tokens(words)
         for b in batches:
-            cells = [tokens.cells(t) for t in b.column(1).to_pylist()]
+            texts = b.column(2).to_pylist()
+            cells = [tokens.cells(t) for t in texts]
             n, s = [len(c) for c in cells], [float(logp[c].sum(dtype=np.float64)) for c in cells]
-            mean = [x / k if k else None for x, k in zip(s, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    return texts_in(docs).select(F.col(id_col).cast("long"), utf8(text_col)).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+            own, rest = [], []
+            for t in texts:
+                found = list(map(known.get, w := folded_words(t)))
+                own.append(math.fsum(x for x in found if x is not None))
+                rest.append(list(Counter(x for x, y in zip(w, found, strict=True) if y is None).items()))
+            lists = pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+            sums = [pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(own, pa.float64()), lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sums], ["row", "doc_id", "n_tokens", "log_likelihood", "own", "rest"])
+
+    read = texts_in(docs).select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), utf8(text_col))
+    kinds = "row long, doc_id long, n_tokens long, log_likelihood double, own double, rest array<struct<word: binary, times: long>>"
+    rows = materialize(read.mapInArrow(run, kinds))
+    met = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+    joined = met.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("joined"))
+    total = F.col("log_likelihood") + F.col("own") + F.coalesce("joined", F.lit(0.0))
+    out = rows.drop("rest").join(joined, "row", "left").withColumn("word_log_likelihood", total)
+    mean = F.when(F.col("n_tokens") > 0, F.col("word_log_likelihood") / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", "log_likelihood", "word_log_likelihood", mean.alias("per_token"))

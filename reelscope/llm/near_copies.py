@@ -1,4 +1,4 @@
-"""Near copies by shingles: MinHash bands bring texts together, their shingles decide."""
+"""Near copies by shingles: MinHash bands and op6's links of fingerprints bring texts together, their shingles decide."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.llm import simhash
 from reelscope.llm.common import components, join_counted, texts_in, utf8
 from reelscope.session import materialize
 
@@ -39,27 +40,27 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks_of(docs: DataFrame, id_: Column, text_col: str) -> DataFrame:
-    """Per document: its id, node (equal for equal sets of shingles), band keys, sketch, and the shingles as 32 bits each."""
+    """Per document: its id, node (equal for equal sets of shingles), band keys, sketch, the shingles as 32 bits each, and op6's fingerprint."""
 
     def mark(text):
         h = shingles(text)
         low = minima(h)
         bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))]
-        return xxhash.xxh64_intdigest(h.tobytes(), SEED), bands, low.astype(np.uint8).tobytes(), h.astype(np.uint32).tobytes()
+        return xxhash.xxh64_intdigest(h.tobytes(), SEED), bands, low.astype(np.uint8).tobytes(), h.astype(np.uint32).tobytes(), simhash.fingerprint(text)
 
     def run(batches):
         for b in batches:
-            node, bands, sketch, sets = list(zip(*map(mark, b.column(1).to_pylist()), strict=True)) or [()] * 4
+            node, bands, sketch, sets, fps = list(zip(*map(mark, b.column(1).to_pylist()), strict=True)) or [()] * 5
             keys = np.array(bands, np.uint64).view(np.int64).ravel()
             at = pa.array(range(0, len(keys) + 1, BANDS), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys)), pa.array(sketch, pa.binary()), pa.array(sets, pa.binary())],
-                ["doc_id", "node", "bands", "sketch", "shingles"],
+                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys)), pa.array(sketch, pa.binary()), pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                ["doc_id", "node", "bands", "sketch", "shingles", "fp"],
             )
 
     rows = texts_in(docs).select(id_.alias("doc_id"), utf8(text_col).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, sketch binary, shingles binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, sketch binary, shingles binary, fp long")
 
 
 def alike(a: frozenset, b: frozenset) -> bool:
@@ -89,12 +90,21 @@ def bucket_links(rows: list[tuple[int, bytes, bytes]]) -> list[tuple[int, int]]:
     return found
 
 
+def fingerprint_buckets(marks: DataFrame) -> DataFrame:
+    """(node, key): nodes of one fingerprint share a key, and so do the nodes of the two ends of a link of op6."""
+    fps = materialize(marks.select("node", "fp").distinct())
+    links = simhash.hamming_links(fps.select("fp").distinct())
+    ends = links.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    return materialize(fps.select("node", F.xxhash64("fp").alias("key")).union(ends.join(fps, "fp").select("node", "key")).distinct())
+
+
 def links_of(marks: DataFrame) -> DataFrame:
     """(a, b): a forest of links between nodes that connects what all links connect.
 
     Of buckets with the same members one is compared, all its pairs; a bucket is one task's.
     """
     members = marks.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    members = members.union(fingerprint_buckets(marks))
     digest = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     heads = members.groupBy("key").agg(*digest).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     wanted = materialize(members.join(heads.select("key"), "key", "left_semi"))

@@ -29,3 +29,19 @@ def test_lexicon_of_100_000_terms(spark):
     got = policy.lexicon_match(texts, "id", "t", terms)
     want = [(i, f"term {n}.") for i in range(300) for n in {7 * i, i + 90_000}]
     assert found(got.select("id", "term")) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("sent, size", [(substring_join.SENT_TERMS, substring_join.AUTOMATON_BYTES), (substring_join.SENT_TERMS, 3), (0, 0)])
+def test_every_route_finds_the_same(spark, monkeypatch, sent, size):
+    """One automaton, grams sent to the tasks, grams joined: also with bytes that are no UTF-8, and terms inside terms."""
+    monkeypatch.setattr(substring_join, "SENT_TERMS", sent)
+    monkeypatch.setattr(substring_join, "AUTOMATON_BYTES", size)
+    rows = [(1, "the café\x00 opens"), (2, "shers he hers"), (2, "shers he hers"), (3, ""), (4, None), (5, "日本語テキスト 🎬")]
+    words = ["he", "she", "hers", "her", "é", "fé\x00", "本語", "🎬", "Ã", "none"]
+    bad = spark.sql("SELECT 6L AS k, cast(concat(unhex('ff'), encode('fox hers', 'UTF-8')) AS string) AS t")
+    texts = spark.createDataFrame(rows, "k long, t string").union(bad)
+    terms = spark.createDataFrame([(w, n) for w in words for n in (1, 2)] + [("he", 1)], "w string, n int")
+    got = substring_join.substring_join(texts, "k", "t", terms, "w")
+    every = [(w, n) for w in words for n in (1, 2)] + [("he", 1)]
+    want = [(k, w, n) for k, t in [*rows, (6, "fox hers")] for w, n in every if t and w in t]
+    assert got.columns == ["k", "w", "n"] and found(got) == sorted(want, key=str)

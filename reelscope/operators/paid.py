@@ -172,7 +172,7 @@ def dynamic_cpm(df: DataFrame) -> DataFrame:
     cpm = F.col("base_cpm") * (F.lit(1.30) - clip(F.col("quality"), 0.0, 1.0) * 0.42)
     for f in factors:
         cpm = cpm * f
-    base = base.withColumn("rules_jitter", T.stable_jitter(cost_fingerprint(), fv.CPM_JITTER_SPAN))
+    base = base.withColumn("rules_jitter", T.stable_jitter(cost_fingerprint(), fv.CPM_JITTER_SPAN, "general"))
     return base.withColumn(
         "rules_cpm_raw", clip(cpm * F.col("rules_jitter"), fv.CPM_FLOOR, fv.CPM_CEILING)
     )

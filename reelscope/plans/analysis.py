@@ -17,6 +17,7 @@ from reelscope.operators import screen as O
 from reelscope.operators import scripts as Q
 from reelscope.operators import sentiment as M
 from reelscope.operators import visual as W
+from reelscope.session import settled
 
 
 def video_with_signals(
@@ -80,7 +81,7 @@ def analyze_batch(
         "_oi": F.when(read, F.col("ocr_llm_content_intent")), "_or": F.when(read, F.col("ocr_llm_role")),
     })
     featured = X.feature_table(base, as_of, override_intent="_oi", override_role="_or").drop("_oi", "_or")
-    scored = D.score_videos(featured, model)
+    scored = D.score_videos(settled(featured), model)
     scripted = Q.script_analysis(scored)
     spoken = T.strip("transcript_text") != ""
     screened = K.policy_risk(
